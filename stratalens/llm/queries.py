@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stratalens.llm.decontaminate import contamination
+from stratalens.llm.external_shuffle import external_shuffle
 from stratalens.llm.minhash_forest import near_duplicates
+from stratalens.llm.secret_battery import secrets
+from stratalens.llm.weighted_fingerprints import edited_likeness
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +29,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op2_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at 85 % of their three-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts, and how alike they are."""
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which benchmark items each document overlaps."""
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in a random order, in 24 shards by the law of equal row counts."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
+    return external_shuffle(table(spark, sf_dir, "documents")).select(
+        "doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query
+def op10_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    return secrets(table(spark, sf_dir, "documents"))

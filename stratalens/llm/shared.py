@@ -36,3 +36,11 @@ def discard(*tables: DataFrame) -> None:
         jvm = table.sparkSession.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(table.stored_path)
         path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores added until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

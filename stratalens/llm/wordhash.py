@@ -18,6 +18,8 @@ _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint
 _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
@@ -68,21 +70,28 @@ def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         start = stop
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, start byte, end byte) of each word, and for each text where its words begin (n + 1 numbers)."""
+def runs(inside: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each maximal run of True that does not cross a text's end."""
+    n = len(inside)
+    breaks = np.zeros(n + 1, dtype=bool)
+    breaks[ends] = True
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1] | breaks[1:n]
+    last[:-1] &= ~inside[1:] | breaks[1:n]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def words(texts: pa.Array, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start byte, end byte) of each word, and for each text where its words begin (n + 1 numbers).
+
+    plain: ASCII signs and controls also part words, so that punctuation does not count.
+    """
     data, ends = text_buffers(texts)
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, np.zeros(len(ends), np.int64)
-    inside = ~_SPACE[data]
-    breaks = np.zeros(n + 1, dtype=bool)
-    breaks[ends] = True
-    first = inside.copy()
-    first[1:] &= ~inside[:-1] | breaks[1:n]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:] | breaks[1:n]
-    starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
+    starts, stops = runs(_LETTER[data] if plain else ~_SPACE[data], ends)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * _power("up", n), out=sums[1:])
     hashes = mix((sums[stops] - sums[starts]) * _power("down", n)[starts])
