@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from stratalens.llm.chat_prefix_tree import prefix_tree, read_back
 from stratalens.llm.decontaminate import contamination
 from stratalens.llm.external_shuffle import external_shuffle
 from stratalens.llm.minhash_forest import near_duplicates
 from stratalens.llm.secret_battery import secrets
+from stratalens.llm.url_filter import host_of, judge_urls
 from stratalens.llm.weighted_fingerprints import edited_likeness
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +27,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of control strings, as a prefix tree and read back from it."""
+    tricky = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
+    )
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(*prefix_tree(turns.union(tricky)))
+
+
 @query
 def op2_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents at 85 % of their three-word shingles."""
@@ -57,3 +70,45 @@ def op9_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
     return secrets(table(spark, sf_dir, "documents"))
+
+
+URL_RULES = [
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+]
+
+
+@query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's URL; listed are the canonical URLs of pages on hosts with a hyphenated name."""
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, pages.where(host_of(F.col("url")).contains("-")).select("url"), URL_RULES)
+
+
+_HOST = "translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op4_url_filter"] = f"""
+WITH parts AS (
+  SELECT page_id, coalesce({_HOST}, '') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
+    coalesce(regexp_extract(url, '^.*?://[^?#]*\\?([^#]*)', 1, 's'), '') AS query, contains(url, '://') AS whole
+  FROM pages
+), named AS (
+  SELECT page_id, host, path, CASE WHEN whole THEN
+    regexp_replace(regexp_replace(host, '^www\\.', ''), ':(80|443)$', '') || regexp_replace(path, '/+$', '')
+    || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(list_sort(kept), '&') ELSE '' END END AS canonical_url
+  FROM (SELECT *, list_filter(string_split(query, '&'),
+    lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref)(=|$)')) AS kept FROM parts)
+), judged AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/' END AS rule,
+    canonical_url IS NOT NULL AND canonical_url IN (SELECT canonical_url FROM named WHERE contains(host, '-') AND canonical_url IS NOT NULL) AS found
+  FROM named
+)
+SELECT page_id, host, path, rule, canonical_url, found AS listed,
+  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN found THEN 'block' ELSE 'allow' END AS verdict
+FROM judged
+"""

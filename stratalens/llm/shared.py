@@ -30,6 +30,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its partitions and their order kept in the shared folder."""
+    root, context = shared_root(df.sparkSession), df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(root)
+    return df.checkpoint()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by ``stored`` that nothing reads any more."""
     for table in tables:
