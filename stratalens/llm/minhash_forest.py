@@ -302,6 +302,20 @@ def near_duplicates(
     )
 
 
+def drop_near_duplicates(docs: DataFrame, forest: Forest = Forest(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that ``near_duplicates`` keeps; of rows that repeat a doc_id one stays.
+
+    Rows with a null doc_id all stay.
+    """
+    names = docs.columns
+    own = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    id_name = f"c{names.index(id_col)}"
+    found = near_duplicates(docs, forest, id_col, text_col)
+    kept = stored(found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
+    once = own.join(kept, own[id_name].cast("long") == kept["kept_id"], "left_semi").dropDuplicates([id_name])
+    return once.union(own.where(F.col(id_name).isNull())).toDF(*names)
+
+
 def _crowded(texts: DataFrame, classes: DataFrame, crowd: DataFrame, labels: DataFrame, forest: Forest) -> DataFrame:
     """Links between components that meet in a region with more rows than a neighbourhood holds.
 

@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from stratalens.llm.chat_prefix_tree import prefix_tree, read_back
+from stratalens.llm.cotrain_quality import fit as fit_quality, score_quality
+from stratalens.llm.crf_language import fit as fit_language, held_out, identify
 from stratalens.llm.decontaminate import contamination
 from stratalens.llm.external_shuffle import external_shuffle
 from stratalens.llm.minhash_forest import near_duplicates
 from stratalens.llm.secret_battery import secrets
+from stratalens.llm.sentencepiece_viterbi import decoded, encode
 from stratalens.llm.url_filter import host_of, judge_urls
 from stratalens.llm.weighted_fingerprints import edited_likeness
 
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -112,3 +117,26 @@ SELECT page_id, host, path, rule, canonical_url, found AS listed,
   CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN found THEN 'block' ELSE 'allow' END AS verdict
 FROM judged
 """
+
+
+@query
+def op6_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, and whether they decode to the text."""
+    ids = decoded(encode(table(spark, sf_dir, "documents"), PIECES), PIECES)
+    same = F.col("decoded") == F.coalesce("text", F.lit(""))
+    return ids.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"))
+
+
+@query
+def op7_crf_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from the training fold."""
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, fit_language(docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op8_cotrain_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by text, by metadata and by both, and which are kept."""
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
