@@ -100,6 +100,7 @@ def marginals(emissions: np.ndarray, transitions: np.ndarray, first: np.ndarray)
     e[:n] = np.exp(emissions - emissions.max(axis=1, keepdims=True))
     new = np.zeros(blocks * m, dtype=bool)
     new[:n] = first
+    new[n:] = True  # what pads the last block sends no message back
     e, new = e.reshape(blocks, m, k), new.reshape(blocks, m)
     step = np.exp(transitions - transitions.max())
     flat = np.full((k, k), 1.0 / k)

@@ -2,21 +2,48 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from stratalens.llm.shared import discard, stored
 
+ONE_TASK = 200_000  # links, 3 MB
+
+
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(u), root(v)
+            parent[max(a, b)] = min(a, b)
+    ids = list(parent)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64()), pa.array([root(x) for x in ids], pa.int64())], names=["id", "component"]
+    )
+
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(id, component) for every id that has a link (a, b); component is the smallest id reachable.
 
-    Each round links every node's larger neighbours to the smallest of its neighbourhood, then its smaller ones; the
+    A graph of at most `one_task` links is solved by union-find in one task, a larger one in rounds of shuffles; the
+    rows are the same. Each round links every node's larger neighbours to the smallest of its neighbourhood, then its smaller ones; the
     number of rounds grows with the logarithm of the longest chain. Stars around one id are joined on a table with one
     row per id, which Spark can split where an id is hot. No links: no rows.
     """
     edges = stored(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
+    if edges.count() <= one_task:
+        return edges.coalesce(1).mapInArrow(_union_find, "id long, component long")
     state = None
     while True:
         both = edges.union(edges.select("v", "u"))

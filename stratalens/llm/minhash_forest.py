@@ -25,7 +25,7 @@ class Forest:
     words: words per shingle. percent: similarity of a link, in hundredths. trees: sorted orders, of 8 minimum hashes
     (16 bits each) apiece. shortest: hashes that neighbours must share, counted from the order's first. near: how many
     places on in an order a candidate can stand; rows that share `shortest` hashes with a row further on are settled
-    by the exact step (`_crowded`).
+    by an exact step (`_among`).
     """
 
     words: int = 3
@@ -237,7 +237,7 @@ def near_duplicates(
     neighbours in an order that share a prefix, the longest first, wherever the order is dense. Signatures weed out
     candidates, each class's likeliest one is confirmed on the full sets, then every candidate that still joins two
     components. Where a prefix is shared by more classes than an order's neighbourhood holds and several components,
-    `_crowded` looks for the rest exactly. Rows with a null doc_id come back with a null component and kept true;
+    `_among` looks for the rest exactly. Rows with a null doc_id come back with a null component and kept true;
     rows that repeat a doc_id come back as often, and their texts count as one node. An empty table gives no rows.
     """
     texts = _docs(docs, id_col, text_col)
@@ -287,10 +287,12 @@ def near_duplicates(
     links_ab = links.union(more)
     labels_ab = stored(components(links_ab), "labels_b")
     discard(labels, likely, sets, walked)
-    rest = stored(_crowded(texts, classes, crowd, labels_ab, forest), "links_c")
-    labels_c = components(rest.union(labels_ab.select(F.col("id").alias("a"), F.col("component").alias("b"))))
-    final = stored(labels_c, "labels_c")
-    discard(labels_ab, crowd)
+    members = stored(_crowded(crowd, labels_ab), "members")
+    final = labels_ab
+    if not members.isEmpty():
+        rest = stored(_among(members, texts, forest), "links_c")
+        final = stored(components(rest.union(labels_ab.select(F.col("id").alias("a"), F.col("component").alias("b")))), "labels_c")
+    discard(crowd)
     owners = classes.select("h1", "h2", "n_shingles", F.col("id").alias("owner"))
     owners = owners.join(final, owners["owner"] == final["id"], "left")
     owners = owners.select("h1", "h2", "n_shingles", F.coalesce("component", "owner").alias("of"))
@@ -316,17 +318,19 @@ def drop_near_duplicates(docs: DataFrame, forest: Forest = Forest(), id_col: str
     return once.union(own.where(F.col(id_name).isNull())).toDF(*names)
 
 
-def _crowded(texts: DataFrame, classes: DataFrame, crowd: DataFrame, labels: DataFrame, forest: Forest) -> DataFrame:
-    """Links between components that meet in a region with more rows than a neighbourhood holds.
+def _crowded(crowd: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, c): the rows of regions that hold more than a neighbourhood and more than one component."""
+    named = crowd.join(labels, "id", "left").select("tree", "prefix", "id", F.coalesce("component", "id").alias("c"))
+    mixed = named.groupBy("tree", "prefix").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    return named.join(mixed.select("tree", "prefix"), ["tree", "prefix"], "left_semi").select("id", "c").distinct()
+
+
+def _among(members: DataFrame, texts: DataFrame, forest: Forest) -> DataFrame:
+    """Links between members of different components.
 
     Exact: two similar sets share a shingle among each one's rarest (size - ceil(percent * size / 100) + 1), so those
-    shingles are joined, within a region's members, and pairs of different components confirmed on the full sets.
+    shingles are joined, and pairs of different components confirmed on the full sets.
     """
-    named = crowd.join(labels, "id", "left").select("tree", "prefix", "id", F.coalesce("component", "id").alias("c"))
-    mixed = named.groupBy("tree", "prefix").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-    members = stored(
-        named.join(mixed.select("tree", "prefix"), ["tree", "prefix"], "left_semi").select("id", "c").distinct(), "members"
-    )
     sets = _sets(texts, members.select("id"), forest)
     items = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("item"))
     counts = items.groupBy("item").agg(F.count("*").alias("df"))
