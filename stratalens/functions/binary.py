@@ -5,7 +5,9 @@ Positions are 1-based, as in SQL ``substring``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 V4_BUCKET_BYTES = 2
@@ -16,15 +18,23 @@ def _pos(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns that are worked out once, whatever later filters and columns make of them.
+
+    Predicates and projections don't cross the one-element generator, so they never repeat the expressions.
+    """
+    named = [value.alias(name) for name, value in columns.items()]
+    return df.select("*", F.inline(F.array(F.struct(*named))))
+
+
 def byte_slice(data: Column, pos, length: int) -> Column:
     return F.substring(data, _pos(pos), F.lit(length))
 
 
 def be_int(data: Column, pos, length: int) -> Column:
     """Unsigned big-endian integer of up to 7 bytes; NULL past the end."""
-    piece = byte_slice(data, pos, length)
-    number = F.conv(F.hex(piece), 16, 10).cast("bigint")
-    return F.when(F.octet_length(piece) == length, number)
+    number = F.conv(F.hex(byte_slice(data, pos, length)), 16, 10).cast("bigint")
+    return F.when(F.octet_length(data) >= _pos(pos) + (length - 1), number)
 
 
 def low_nibble(data: Column, pos) -> Column:
@@ -47,37 +57,38 @@ def _dotted(address: Column) -> Column:
     return F.concat_ws(".", *[be_int(address, i, 1).cast("string") for i in range(1, 5)])
 
 
-def _zero_run(mask: Column) -> Column:
-    """Struct(at, len) of the longest run of 'z' (two or more); leftmost wins."""
-    run = F.struct(F.lit(0).alias("at"), F.lit(0).alias("len"))
-    for length in range(2, 9):
-        found = F.instr(mask, "z" * length)
-        run = F.when(found > 0, F.struct(found.alias("at"), F.lit(length).alias("len"))).otherwise(run)
-    return run
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _colon_groups(address: Column) -> Column:
-    digits = F.lower(F.hex(address))
-    return F.array(
-        *[F.regexp_replace(F.substring(digits, 4 * i + 1, 4), "^0{1,3}", "") for i in range(8)]
-    )
+def _shortened(groups: Column) -> Column:
+    """The leftmost longest run of two or more zero groups becomes ``::``; in and out begin and end with a colon."""
+    runs = F.regexp_extract_all(groups, F.lit(":(0(?::0)+)(?=:)"), F.lit(1))
+    longest = F.aggregate(runs, F.lit(""), lambda best, run: F.when(F.length(run) > F.length(best), run).otherwise(best))
+
+    def cut(run: Column) -> Column:
+        needle = F.concat(F.lit(":"), run, F.lit(":"))
+        before = F.call_function("substring_index", groups, needle, F.lit(1))
+        after = F.substring(groups, F.length(before) + F.length(needle) + 1, F.length(groups))
+        return F.when(run == "", groups).otherwise(F.concat(before, F.lit("::"), after))
+
+    return bound(longest, cut)
 
 
 def _compressed(address: Column) -> Column:
-    groups = _colon_groups(address)
-    mask = F.array_join(F.transform(groups, lambda g: F.when(g == "0", "z").otherwise("x")), "")
-    run = _zero_run(mask)
-    at, length = run["at"], run["len"]
-    head = F.array_join(F.slice(groups, F.lit(1), F.greatest(at - 1, F.lit(0))), ":")
-    tail = F.array_join(F.slice(groups, at + length, F.greatest(F.lit(9) - at - length, F.lit(0))), ":")
-    return F.when(length == 0, F.array_join(groups, ":")).otherwise(F.concat(head, F.lit("::"), tail))
+    spaced = F.regexp_replace(F.lower(F.hex(address)), "(.{4})", ":$1")
+    groups = F.concat(F.regexp_replace(spaced, ":0{1,3}", ":"), F.lit(":"))
+    return F.regexp_replace(bound(groups, _shortened), "^:(?!:)|(?<!:):$", "")
 
 
 def ip_text(address: Column) -> Column:
     """Canonical address text; mapped IPv6 prints in dotted IPv4 form."""
-    plain = plain_address(address)
-    return F.when(F.octet_length(plain) == 4, _dotted(plain)).when(
-        F.octet_length(plain) == 16, _compressed(plain)
+    return bound(
+        plain_address(address),
+        lambda plain: F.when(F.octet_length(plain) == 4, _dotted(plain)).when(
+            F.octet_length(plain) == 16, _compressed(plain)
+        ),
     )
 
 

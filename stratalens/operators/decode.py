@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.functions.binary import be_int, byte_slice, ip_text, low_nibble, plain_address
+from stratalens.functions.binary import be_int, byte_slice, ip_text, low_nibble, once, plain_address
 
 # Fixed wire values.
 ETHERNET_BYTES = 14
@@ -47,26 +47,23 @@ def _has(data: Column, size) -> Column:
 def decode_link(frames: DataFrame) -> DataFrame:
     """Add ``ethertype`` and ``l3_off``; both NULL where the frame is too short."""
     frame = F.col("frame")
-    outer = _int_at(frame, 12, 2)
-    tagged = outer == ETHERTYPE_TAGGED
-    whole_tag = _has(frame, ETHERNET_BYTES + TAG_BYTES)
-    return frames.withColumn(
-        "ethertype",
-        F.when(~_has(frame, ETHERNET_BYTES), None)
-        .when(~tagged, outer)
-        .when(whole_tag, _int_at(frame, 16, 2)),
-    ).withColumn(
-        "l3_off",
-        F.when(F.col("ethertype").isNull(), None)
-        .when(tagged, ETHERNET_BYTES + TAG_BYTES)
-        .otherwise(ETHERNET_BYTES),
+    outer = once(frames, _outer=F.when(_has(frame, ETHERNET_BYTES), _int_at(frame, 12, 2)))
+    tagged = F.col("_outer") == ETHERTYPE_TAGGED
+    linked = once(
+        outer,
+        ethertype=F.when(~tagged, F.col("_outer")).when(
+            tagged & _has(frame, ETHERNET_BYTES + TAG_BYTES), _int_at(frame, 16, 2)
+        ),
     )
+    offset = F.when(tagged, ETHERNET_BYTES + TAG_BYTES).otherwise(ETHERNET_BYTES)
+    return once(linked, l3_off=F.when(F.col("ethertype").isNotNull(), offset)).drop("_outer")
 
 
 def _network_layer(linked: DataFrame, versions: tuple[str, ...]) -> DataFrame:
     """Add family, raw addresses and the offset of the UDP header."""
     frame, off, kind = F.col("frame"), F.col("l3_off"), F.col("ethertype")
-    header = low_nibble(frame, off + 1) * 4
+    linked = once(linked, _header=low_nibble(frame, off + 1) * 4)
+    header = F.col("_header")
     v4 = (
         (kind == ETHERTYPE_IPV4)
         & _has(frame, off + IPV4_MIN_BYTES)
@@ -84,16 +81,14 @@ def _network_layer(linked: DataFrame, versions: tuple[str, ...]) -> DataFrame:
         family = F.when(v6, "ipv6").otherwise(family)
     if "ipv4" in versions:
         family = F.when(v4, "ipv4").otherwise(family)
-    out = linked.withColumn("family", family)
+    out = once(linked, family=family)
     is4, is6 = F.col("family") == "ipv4", F.col("family") == "ipv6"
-    return (
-        out.withColumn("src_bin", F.when(is4, _at(frame, off + 12, 4)).when(is6, _at(frame, off + 8, 16)))
-        .withColumn("dst_bin", F.when(is4, _at(frame, off + 16, 4)).when(is6, _at(frame, off + 24, 16)))
-        .withColumn(
-            "l4_off",
-            F.when(is4, (off + header).cast("int")).when(is6, (off + IPV6_BYTES).cast("int")),
-        )
-    )
+    return once(
+        out,
+        src_bin=F.when(is4, _at(frame, off + 12, 4)).when(is6, _at(frame, off + 8, 16)),
+        dst_bin=F.when(is4, _at(frame, off + 16, 4)).when(is6, _at(frame, off + 24, 16)),
+        l4_off=F.when(is4, (off + header).cast("int")).when(is6, (off + IPV6_BYTES).cast("int")),
+    ).drop("_header")
 
 
 def decode_ipv4(linked: DataFrame) -> DataFrame:
@@ -117,16 +112,15 @@ def decode_direction(networked: DataFrame) -> DataFrame:
     frame, off = F.col("frame"), F.col("l4_off")
     whole = _has(frame, off + UDP_BYTES)
     port = F.unhex(F.lit(f"{TIME_PORT:04X}"))
-    out = networked.withColumn(
-        "direction",
-        F.when(whole & (_at(frame, off + 2, 2) == port), "request").when(
-            whole & (_at(frame, off, 2) == port), "response"
-        ),
+    direction = F.when(whole & (_at(frame, off + 2, 2) == port), "request").when(
+        whole & (_at(frame, off, 2) == port), "response"
     )
+    out = once(networked, direction=direction)
     client = F.when(F.col("direction") == "request", F.col("src_bin")).when(
         F.col("direction") == "response", F.col("dst_bin")
     )
-    return out.withColumn("client_bin", plain_address(client))
+    out = once(out, _client=client)
+    return once(out, client_bin=plain_address(F.col("_client"))).drop("_client")
 
 
 def _payload_at() -> Column:
@@ -139,26 +133,19 @@ def _whole_payload() -> Column:
 
 def decode_version(directed: DataFrame) -> DataFrame:
     """Add ``version``: 1 to 4 as text, any other number as 'other'."""
-    number = F.shiftright(_int_at(F.col("frame"), _payload_at(), 1), 3).bitwiseAND(
-        F.lit(7).cast("bigint")
-    )
-    name = F.when(number.between(1, 4), number.cast("string")).otherwise("other")
-    return directed.withColumn("version", F.when(_whole_payload(), name))
+    bits = F.shiftright(_int_at(F.col("frame"), _payload_at(), 1), 3).bitwiseAND(F.lit(7).cast("bigint"))
+    numbered = once(directed, _number=F.when(_whole_payload(), bits))
+    number = F.col("_number")
+    name = F.when(number.between(1, 4), number.cast("string")).when(number.isNotNull(), "other")
+    return once(numbered, version=name).drop("_number")
 
 
 def decode_xid(directed: DataFrame) -> DataFrame:
     """Add the transaction id that links a response to its request."""
     frame, start = F.col("frame"), _payload_at()
     is_request = F.col("direction") == "request"
-    return directed.withColumn(
-        "xid",
-        F.when(
-            _whole_payload(),
-            F.when(is_request, _at(frame, start + REQUEST_XID_AT, 8)).otherwise(
-                _at(frame, start + REPLY_XID_AT, 8)
-            ),
-        ),
-    )
+    place = start + F.when(is_request, REQUEST_XID_AT).otherwise(REPLY_XID_AT)
+    return once(directed, xid=F.when(_whole_payload(), _at(frame, place, 8)))
 
 
 def decode_addresses(directed: DataFrame) -> DataFrame:
@@ -169,11 +156,15 @@ def decode_addresses(directed: DataFrame) -> DataFrame:
     )
 
 
-def decode_frames(frames: DataFrame) -> DataFrame:
-    """All decoded columns beside the frame; ``parsed`` tells valid packets."""
+def decode_packets(frames: DataFrame) -> DataFrame:
+    """All decoded columns but address text beside the frame; ``parsed`` tells valid packets."""
     out = decode_direction(decode_network(decode_link(frames)))
-    out = decode_xid(decode_version(out))
-    return decode_addresses(out).withColumn("parsed", F.col("direction").isNotNull())
+    return decode_xid(decode_version(out)).withColumn("parsed", F.col("direction").isNotNull())
+
+
+def decode_frames(frames: DataFrame) -> DataFrame:
+    """All decoded columns beside the frame."""
+    return decode_addresses(decode_packets(frames))
 
 
 def time_port_filter(frame: Column) -> Column:
@@ -203,8 +194,8 @@ def filter_frames(frames: DataFrame) -> DataFrame:
 
 def split_parsed(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Packets that decode, and the captured frames that do not."""
-    decoded = decode_frames(filter_frames(frames))
-    packets = decoded.where("parsed").withColumn(
+    decoded = decode_packets(filter_frames(frames))
+    packets = decode_addresses(decoded.where("parsed")).withColumn(
         "ts", F.timestamp_micros(F.call_function("div", F.col("ts_ns"), F.lit(1000).cast("bigint")))
     )
     return packets.select(*PACKET_COLUMNS), decoded.where("NOT parsed").select("seq", "ts_ns", "frame")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stratalens.functions.slices import running_sum
 from stratalens.functions.timegrid import flush_of, grid_index
-from stratalens.operators.decode import decode_frames, filter_frames
+from stratalens.operators.decode import decode_packets, filter_frames
 
 FLUSH_S = 15
 TOP_N = 25
@@ -110,8 +110,8 @@ def requests_by_family(packets: DataFrame, every: int = FLUSH_S) -> DataFrame:
 
 def parse_errors(frames: DataFrame, every: int = FLUSH_S) -> DataFrame:
     """Captured frames that do not decode, per flush that captured any frame."""
-    decoded = decode_frames(filter_frames(frames)).select("ts_ns", "parsed")
-    return _flushed(decoded, every).groupBy("flush").agg(F.count_if("NOT parsed").alias("errors"))
+    decoded = decode_packets(filter_frames(frames)).select("ts_ns", "parsed")
+    return _flushed(decoded, every).groupBy("flush").agg(F.count_if(~F.col("parsed")).alias("errors"))
 
 
 def to_counter(

@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalens.functions.binary import once
 from stratalens.functions.slices import running_sum
 from stratalens.operators.enrich import ipv4_ranges
 from stratalens.operators.samples import tick_grid
@@ -137,7 +138,7 @@ def frames(events: DataFrame) -> DataFrame:
     udp = F.concat(ports, F.when(is_variant("cut"), "").otherwise(F.concat(F.lit("00380000"), payload)))
     digits = F.concat(link, network, udp)
     data = F.unhex(F.when(is_variant("short"), F.substring(digits, 1, 40)).otherwise(digits))
-    return p.select("seq", "ts_ns", data.alias("frame"))
+    return once(p.select("seq", "ts_ns", data.alias("_data")), frame=F.col("_data")).drop("_data")
 
 
 class Inputs:
