@@ -10,11 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DEFAULT_P = 14
+MIN_P, MAX_P = 4, 16
 HASH_BITS = 64
 
 
 def check_precision(p: int) -> int:
-    if not 4 <= p <= 16:
+    if not MIN_P <= p <= MAX_P:
         raise ValueError("precision must be between 4 and 16")
     return p
 

@@ -101,40 +101,44 @@ def hll_registers(df: DataFrame, key: str, keys: list[str] | None = None, p: int
     )
 
 
+def _one_precision() -> Column:
+    """The largest rank, which cannot be read without checking that the group's sketches have one precision."""
+    return F.when(F.min("p") == F.max("p"), F.max("rho")).otherwise(
+        F.raise_error(F.lit("cannot merge sketches of different precision"))
+    ).cast("int")
+
+
 def hll_merge(registers: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Register-wise maximum; fails when the sketches differ in precision."""
+    """Register-wise maximum; fails when the sketches of a group differ in precision.
+
+    Sketches of different precision need not share a register, so the group's precision goes along with every row.
+    """
     keys = keys or []
-    merged = registers.groupBy(*keys, "idx").agg(
-        F.max("rho").alias("rho"), F.min("p").alias("_lo"), F.max("p").alias("p")
+    by_group = registers.groupBy(*keys).agg(F.min("p").alias("_lo"), F.max("p").alias("_hi"))
+    merged = registers.groupBy(*keys, "idx").agg(_one_precision().alias("rho"))
+    joined = merged.join(by_group, keys) if keys else merged.crossJoin(F.broadcast(by_group))  # one row
+    whole = F.when(F.col("_lo") == F.col("_hi"), F.col("rho")).otherwise(
+        F.raise_error(F.lit("cannot merge sketches of different precision"))
     )
-    scope = W.partitionBy(*keys) if keys else None
-    if scope is not None:
-        low, high = F.min("_lo").over(scope), F.max("p").over(scope)
-        checked = merged.withColumn("_lo", low).withColumn("_hi", high)
-    else:
-        # Few rows are left here: no more than 2^16 registers.
-        bounds = registers.agg(F.min("p").alias("_l"), F.max("p").alias("_h"))
-        checked = merged.withColumn("_lo", bounds.select("_l").scalar()).withColumn(
-            "_hi", bounds.select("_h").scalar()
-        )
-    return checked.withColumn(
-        "p",
-        F.when(F.col("_lo") == F.col("_hi"), F.col("p")).otherwise(
-            F.raise_error(F.lit("cannot merge sketches of different precision"))
-        ),
-    ).select(*keys, "idx", "rho", "p")
+    return joined.select(*keys, "idx", whole.cast("int").alias("rho"), F.col("_hi").alias("p"))
 
 
-def hll_estimate(registers: DataFrame, keys: list[str] | None = None, p: int = sketch.DEFAULT_P,
-                 out: str = "estimate") -> DataFrame:
-    """Distinct-count estimate per group; absent registers count as 0, empty is 0."""
+def hll_estimate(registers: DataFrame, keys: list[str] | None = None, out: str = "estimate") -> DataFrame:
+    """Distinct-count estimate per group; absent registers count as 0, empty is 0.
+
+    The precision is the registers' own; a group of several precisions fails.
+    """
     keys = keys or []
-    return (
-        registers.groupBy(*keys)
-        .agg(F.sum(F.pow(F.lit(2.0), -F.col("rho"))).alias("_inv"), F.count("*").alias("_n"))
-        .withColumn(out, sketch.estimate(F.col("_inv"), F.col("_n"), p))
-        .drop("_inv", "_n")
+    sums = registers.groupBy(*keys).agg(
+        F.sum(F.pow(F.lit(2.0), -F.col("rho"))).alias("_inv"), F.count("*").alias("_n"),
+        F.min("p").alias("_lo"), F.max("p").alias("_hi"),
     )
+    by_p = F.lit(None).cast("double")
+    for p in range(sketch.MIN_P, sketch.MAX_P + 1):
+        by_p = F.when(F.col("_hi") == p, sketch.estimate(F.col("_inv"), F.col("_n"), p)).otherwise(by_p)
+    mixed = F.raise_error(F.lit("cannot merge sketches of different precision")).cast("double")
+    value = F.when(F.col("_n") == 0, 0.0).when(F.col("_lo") == F.col("_hi"), by_p).otherwise(mixed)
+    return sums.select(*keys, value.alias(out))
 
 
 def hourly_registers(packets: DataFrame, p: int = sketch.DEFAULT_P) -> DataFrame:
@@ -142,7 +146,7 @@ def hourly_registers(packets: DataFrame, p: int = sketch.DEFAULT_P) -> DataFrame
     return hll_registers(hourly, "client_ip", ["hour"], p)
 
 
-def daily_from_registers(registers: DataFrame, hours: int = SKETCH_HOURS, p: int = sketch.DEFAULT_P) -> DataFrame:
+def daily_from_registers(registers: DataFrame, hours: int = SKETCH_HOURS) -> DataFrame:
     """Union of each hour's sketch and the ``hours - 1`` before it, then its estimate.
 
     Every sketch is handed to the hours it is still part of; sketches have a
@@ -151,14 +155,10 @@ def daily_from_registers(registers: DataFrame, hours: int = SKETCH_HOURS, p: int
     reach = F.sequence(
         F.col("hour"), F.col("hour") + (hours - 1) * HOUR_S, F.lit(HOUR_S).cast("bigint")
     )
-    union = (
-        registers.withColumn("hour", F.explode(reach))
-        .groupBy("hour", "idx")
-        .agg(F.max("rho").alias("rho"))
-    )
-    return hll_estimate(union, ["hour"], p, "unique_clients")
+    union = hll_merge(registers.withColumn("hour", F.explode(reach)), ["hour"])
+    return hll_estimate(union, ["hour"], "unique_clients")
 
 
 def unique_daily(packets: DataFrame, hours: int = SKETCH_HOURS, p: int = sketch.DEFAULT_P) -> DataFrame:
     """Estimated distinct clients per hour over that hour and the 23 before it."""
-    return daily_from_registers(hourly_registers(packets, p), hours, p)
+    return daily_from_registers(hourly_registers(packets, p), hours)

@@ -111,7 +111,7 @@ def table_timeline(landings: DataFrame, check_every: int = RELOAD_CHECK_S) -> Da
     )
 
 
-def stamp_version(df: DataFrame, timeline: DataFrame, db: str, until: int) -> DataFrame:
+def stamp_version(df: DataFrame, timeline: DataFrame, db: str, until: Column) -> DataFrame:
     """Add the table version in use when each packet was seen (NULL: nothing loaded).
 
     Validity is spread over days up to ``until`` (epoch seconds, at least the
@@ -141,7 +141,7 @@ def stamp_version(df: DataFrame, timeline: DataFrame, db: str, until: int) -> Da
 
 
 def enrich_country_versioned(
-    df: DataFrame, ranges: DataFrame, timeline: DataFrame, until: int
+    df: DataFrame, ranges: DataFrame, timeline: DataFrame, until: Column
 ) -> DataFrame:
     """``enrich_country`` with the table version in use at each packet's time."""
     stamped = stamp_version(df, timeline, "country", until)
@@ -149,7 +149,7 @@ def enrich_country_versioned(
 
 
 def enrich_asn_versioned(
-    df: DataFrame, ranges: DataFrame, timeline: DataFrame, until: int
+    df: DataFrame, ranges: DataFrame, timeline: DataFrame, until: Column
 ) -> DataFrame:
     stamped = stamp_version(df, timeline, "asn", until)
     return _asn_columns(_lookup(stamped, ranges, ["asn", "as_org"], True)).drop("_version")

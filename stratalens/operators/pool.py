@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalens.functions.binary import bound
+
 SCHEMA = (
     "monitors array<struct<id:variant,name:variant>>,"
     "history array<struct<ts:variant,score:variant,offset:variant,rtt:variant,monitor_id:variant>>,"
@@ -154,13 +156,23 @@ def _values(parsed: DataFrame) -> Column:
             (e["rtt"] / 1000.0).alias("rtt_s"),
         ),
     )
-    return F.filter(
-        entries,
-        lambda a: ~F.exists(
-            entries, lambda b: (b["monitor"] == a["monitor"]) & (b["monitor_id"] > a["monitor_id"])
-        ),
+    by_name = F.transform(
+        entries, lambda e: F.struct(e["monitor"].alias("monitor"), e["monitor_id"].alias("monitor_id"), e.alias("entry"))
     )
 
+    def kept(rows: Column) -> Column:
+        highest = F.map_from_entries(F.transform(
+            F.array_distinct(F.transform(rows, lambda r: r["monitor"])),
+            lambda name: F.struct(name, F.array_max(F.transform(
+                F.filter(rows, lambda r: r["monitor"] == name), lambda r: r["monitor_id"]
+            ))),
+        ))
+        return F.transform(
+            F.filter(rows, lambda r: r["monitor_id"] == F.element_at(highest, r["monitor"])), lambda r: r["entry"]
+        )
+
+    return bound(by_name, kept)
+
 
 def monitor_values(parsed: DataFrame) -> DataFrame:
     """Score, offset and round trip in seconds per named monitor.
