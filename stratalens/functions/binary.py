@@ -10,8 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-V4_BUCKET_BYTES = 2
-V6_BUCKET_BYTES = 3
+BUCKET_LEVELS = (3, 2, 1, 0)
 
 
 def _pos(value) -> Column:
@@ -134,8 +133,9 @@ def ip_bin(text: Column) -> Column:
     )
 
 
-def address_bucket(address: Column) -> Column:
-    """Coarse prefix of an address as one BIGINT; families never share a value."""
-    v4 = be_int(address, 1, V4_BUCKET_BYTES)
-    v6 = be_int(address, 1, V6_BUCKET_BYTES) + (1 << (8 * V4_BUCKET_BYTES))
-    return F.when(F.octet_length(address) == 4, v4).when(F.octet_length(address) == 16, v6)
+def address_bucket(address: Column, level: int) -> Column:
+    """The first ``level`` bytes of an IPv4 address, or twice as many of an IPv6 one, as a BIGINT; families never meet."""
+    head = lambda size: be_int(address, 1, size) if size else F.lit(0).cast("bigint")
+    return F.when(F.octet_length(address) == 4, head(level)).when(
+        F.octet_length(address) == 16, head(2 * level) + F.lit(1 << 56)
+    )

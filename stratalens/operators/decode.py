@@ -204,6 +204,7 @@ def split_parsed(frames: DataFrame) -> tuple[DataFrame, DataFrame]:
 def keep_client_traffic(packets: DataFrame, local_ips: DataFrame) -> DataFrame:
     """Requests sent to, and responses sent from, an address that is ours at the time.
 
+    One host per table: with frames of several hosts, join each host's own addresses.
     The server's own upstream polls and their replies drop out. All packets of a
     host share one local address, so beyond broadcast size the join relies on
     run-time splitting of the hot key (the packet side of a semi join splits).

@@ -1,13 +1,13 @@
 """Country and network lookup by address range.
 
-A range condition alone plans as a nested loop over the table. Ranges are
-therefore spread over coarse prefixes and joined on the prefix, with the range
-test on top. Ranges of one table must be disjoint, so a packet meets at most
-one of them and the left join keeps the row count.
-
-No side is hinted: Spark broadcasts the prefix table while its size is under
-the session's threshold, and beyond that sorts and merges on the prefix, where
-a hot prefix of the packet side is split at run time.
+A range condition alone plans as a nested loop over the table. Every range is therefore filed under one or two address
+prefixes, of the finest of four lengths at which its ends lie in the same or in neighbouring prefixes, and packets are
+joined on the prefix, length by length, with the range test on top. However wide a range is, it makes two rows at
+most, so Spark's estimate of the table's size holds and a narrow range shares its prefix with its neighbours only.
+Ranges of one table must be disjoint, so a packet meets at most one of them and the left joins keep the row count.
+
+No side is hinted: Spark broadcasts a length's ranges while they are under the session's threshold, and beyond that
+sorts and merges on the prefix, where a hot prefix of the packet side is split at run time.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratalens.functions.binary import address_bucket
+from stratalens.functions.binary import BUCKET_LEVELS, address_bucket, once
 from stratalens.functions.timegrid import SECOND_NS, ceil_to, grid_index
 
 UNKNOWN = "unknown"
@@ -31,31 +31,38 @@ def ipv4_ranges(table: DataFrame) -> DataFrame:
 
 
 def spread_ranges(ranges: DataFrame) -> DataFrame:
-    """One row per prefix a range touches."""
-    return ranges.withColumn(
-        "_bucket", F.explode(F.sequence(address_bucket(F.col("lo")), address_bucket(F.col("hi"))))
-    )
+    """One row, or two, per range: its level and bucket."""
+    lo, hi = F.col("lo"), F.col("hi")
+    level = F.lit(0)
+    for k in sorted(BUCKET_LEVELS):
+        near = address_bucket(hi, k) - address_bucket(lo, k) <= 1
+        level = F.when(near, k).otherwise(level)
+    span = F.lit(None).cast("array<bigint>")
+    for k in BUCKET_LEVELS:
+        span = F.when(F.col("_level") == k, F.sequence(address_bucket(lo, k), address_bucket(hi, k))).otherwise(span)
+    return once(ranges, _level=level).withColumn("_bucket", F.explode(span))
 
 
 def _lookup(df: DataFrame, ranges: DataFrame, attributes: list[str], on_version: bool) -> DataFrame:
-    spread = spread_ranges(ranges)
-    side = spread.select(
-        F.col("_bucket").alias("_r_bucket"),
-        F.col("lo").alias("_r_lo"),
-        F.col("hi").alias("_r_hi"),
+    spread = spread_ranges(ranges).select(
+        F.col("_level"), F.col("_bucket").alias("_r_bucket"), F.col("lo").alias("_r_lo"), F.col("hi").alias("_r_hi"),
         *([F.col("version").alias("_r_version")] if on_version else []),
-        *[F.col(a).alias(f"_r_{a}") for a in attributes],
-    )
-    match = (
-        (F.col("_bucket") == F.col("_r_bucket"))
-        & (F.col("client_bin") >= F.col("_r_lo"))
-        & (F.col("client_bin") <= F.col("_r_hi"))
+        F.struct(*attributes).alias("_r_found"),
     )
-    if on_version:
-        match = match & (F.col("_version") == F.col("_r_version"))
-    keyed = df.withColumn("_bucket", address_bucket(F.col("client_bin")))
-    joined = keyed.join(side, match, "left")
-    return joined.drop("_bucket", "_r_bucket", "_r_lo", "_r_hi", "_r_version")
+    out = df
+    for k in BUCKET_LEVELS:
+        side = spread.where(F.col("_level") == k).drop("_level").withColumnRenamed("_r_found", f"_found_{k}")
+        match = (
+            (address_bucket(F.col("client_bin"), k) == F.col("_r_bucket"))
+            & (F.col("client_bin") >= F.col("_r_lo"))
+            & (F.col("client_bin") <= F.col("_r_hi"))
+        )
+        if on_version:
+            match = match & (F.col("_version") == F.col("_r_version"))
+        out = out.join(side, match, "left").drop("_r_bucket", "_r_lo", "_r_hi", "_r_version")
+    found = F.coalesce(*[F.col(f"_found_{k}") for k in BUCKET_LEVELS])
+    out = out.withColumn("_found", found).drop(*[f"_found_{k}" for k in BUCKET_LEVELS])
+    return out.withColumns({f"_r_{a}": F.col("_found")[a] for a in attributes}).drop("_found")
 
 
 def _or_unknown(name: str) -> Column:

@@ -73,7 +73,7 @@ def read_local_ips(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _network_bounds(table: DataFrame) -> DataFrame:
-    """Bounds of ``address/length`` blocks of both families, as BINARY."""
+    """Bounds of ``address/length`` blocks of both families, as BINARY; a block that can't be read fails the query."""
     digits = F.hex(ip_bin(F.substring_index("network", "/", 1)))
     length = F.substring_index("network", "/", -1).try_cast("int")
     whole = F.call_function("div", length, F.lit(4)).cast("int")
@@ -86,8 +86,8 @@ def _network_bounds(table: DataFrame) -> DataFrame:
     ).otherwise("")
     lo = F.concat(head, tail_of(nibble.bitwiseAND(F.lit(15) - low_bits), "0"))
     hi = F.concat(head, tail_of(nibble.bitwiseOR(low_bits), "F"))
-    bounded = table.withColumn("lo", F.unhex(lo)).withColumn("hi", F.unhex(hi))
-    return bounded.where(F.col("lo").isNotNull()).drop("network")
+    wrong = F.raise_error(F.concat(F.lit("unreadable network: "), F.coalesce("network", F.lit("null")))).cast("binary")
+    return table.withColumn("hi", F.unhex(hi)).withColumn("lo", F.coalesce(F.unhex(lo), wrong)).drop("network")
 
 
 def _read_ranges(spark, path, fmt, numeric, network, networks) -> DataFrame:
