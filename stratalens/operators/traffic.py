@@ -7,10 +7,11 @@ task. Inputs are packets after ``keep_client_traffic``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratalens.functions.binary import once
 from stratalens.functions.slices import running_sum
 from stratalens.functions.timegrid import flush_of, grid_index
 from stratalens.operators.decode import decode_packets, filter_frames
@@ -136,6 +137,50 @@ def prune_totals(totals: DataFrame, keep: int = TOTALS_MAX) -> DataFrame:
     return top_asn(totals, keep)
 
 
+SEARCH_STEPS = 40  # halvings that find a place in any list of slices
+
+
+def _first_above(bars: Column, total: Column) -> Column:
+    """Slice of the first entry of bars (by slice, bar never falling) whose bar is above total; NULL if none is."""
+
+    def halve(span: Column, _step: Column) -> Column:
+        middle = F.call_function("div", span["lo"] + span["hi"], F.lit(2)).cast("int")
+        above = F.get(bars, middle)["bar"] > total
+        left = F.struct(span["lo"].alias("lo"), middle.alias("hi"))
+        right = F.struct((middle + 1).alias("lo"), span["hi"].alias("hi"))
+        return F.when(span["lo"] >= span["hi"], span).when(above, left).otherwise(right)
+
+    start = F.struct(F.lit(0).alias("lo"), F.size(bars).alias("hi"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(SEARCH_STEPS)), start, halve)
+    return F.get(bars, found["lo"])["slice"]
+
+
+def carried_totals(per_slice: DataFrame, n: int) -> DataFrame:
+    """(slice, asn, start, gain): every network in the slices of its gains, and in the silent ones where it may rank.
+
+    A network that is silent in a slice ranks only if it is among the top n at its start. Totals never fall, so once n
+    networks have ended some slice above its total it is out until it gains again: it is carried up to that slice, which
+    leaves about n silent networks per slice however many there are.
+    """
+    order = W.partitionBy("asn").orderBy("slice")
+    summed = per_slice.withColumn("_end", F.sum("gain").over(order)).withColumn("_next", F.lead("slice").over(order))
+    by_end = W.partitionBy("slice").orderBy(F.col("_end").desc())
+    nth = summed.withColumn("_rn", F.row_number().over(by_end)).where(F.col("_rn") <= n).where(F.col("_rn") == n)
+    rising = W.orderBy("slice").rowsBetween(W.unboundedPreceding, W.currentRow)  # one row per slice
+    bars = nth.select((F.col("slice") + 1).alias("slice"), F.max("_end").over(rising).alias("bar"))
+    listed = bars.agg(F.sort_array(F.collect_list(F.struct("slice", "bar")))).scalar()
+    last_slice = per_slice.agg(F.max("slice")).scalar()
+    bounded = once(summed, _bars=listed).withColumn("_out", _first_above(F.col("_bars"), F.col("_end"))).drop("_bars")
+    until = F.least(F.coalesce(F.col("_next") - 1, last_slice), F.coalesce(F.col("_out") - 1, last_slice))
+    silent = (
+        bounded.withColumn("_until", until)
+        .where(F.col("_until") > F.col("slice"))
+        .select(F.explode(F.sequence(F.col("slice") + 1, F.col("_until"))).alias("slice"), "asn", F.col("_end").alias("start"))
+    )
+    gaining = summed.select("slice", "asn", (F.col("_end") - F.col("gain")).alias("start"), "gain")
+    return gaining.unionByName(silent.withColumn("gain", F.lit(0).cast("bigint")))
+
+
 def top_asn_by_flush(
     counts: DataFrame, n: int = TOP_N, every: int = FLUSH_S, flushes_per_slice: int = FLUSHES_PER_SLICE
 ) -> DataFrame:
@@ -144,9 +189,8 @@ def top_asn_by_flush(
     A network that is silent in a flush still ranks, but pairing all networks
     with all flushes would grow with their product. Totals never fall, so inside
     a slice of flushes only networks whose total at the slice's end reaches the
-    n-th largest total at its start can rank. Networks are first carried from
-    slice to slice, then only those candidates are laid out over the flushes,
-    which is about the size of the result itself.
+    n-th largest total at its start can rank; only those candidates are laid out
+    over the flushes, which is about the size of the result itself.
     """
     width = every * flushes_per_slice
     base = (
@@ -155,28 +199,15 @@ def top_asn_by_flush(
         .agg(F.sum("requests").alias("requests"))
         .withColumn("slice", grid_index(F.col("flush"), width))
     )
-    per_slice = base.groupBy("asn", "slice").agg(F.sum("requests").alias("gain"))
-    last_slice = base.agg(F.max("slice")).scalar()
-    order = W.partitionBy("asn").orderBy("slice")
-    carried = (
-        per_slice.withColumn("start", F.sum("gain").over(order))
-        .withColumn("_next", F.coalesce(F.lead("slice").over(order), last_slice))
-        .where(F.col("_next") > F.col("slice"))
-        .select("asn", F.explode(F.sequence(F.col("slice") + 1, F.col("_next"))).alias("slice"), "start")
-    )
+    state = carried_totals(base.groupBy("asn", "slice").agg(F.sum("requests").alias("gain")), n)
     by_start = W.partitionBy("slice").orderBy(F.col("start").desc(), F.col("asn").cast("string"))
     bar = (
-        carried.withColumn("_rn", F.row_number().over(by_start))
+        state.where(F.col("start") > 0)
+        .withColumn("_rn", F.row_number().over(by_start))
         .where(F.col("_rn") <= n)
         .where(F.col("_rn") == n)
         .select("slice", F.col("start").alias("bar"))
     )
-    state = (
-        carried.withColumn("gain", F.lit(0).cast("bigint"))
-        .unionByName(per_slice.withColumn("start", F.lit(0).cast("bigint")))
-        .groupBy("slice", "asn")
-        .agg(F.sum("start").alias("start"), F.sum("gain").alias("gain"))
-    )
     candidates = (
         state.join(bar, "slice", "left")
         .where(F.col("start") + F.col("gain") >= F.coalesce(F.col("bar"), F.lit(0)))

@@ -64,7 +64,7 @@ def main() -> int:
     args = sys.argv[1:]
     sf_dir = args[0] if args else "/root/testdata/sf0.01"
     parts = args[1:]
-    spark = session("local[8]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
+    spark = session(os.environ.get("COMPARE_MASTER", "local[8]"), **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"})
     spark.sparkContext.setLogLevel("ERROR")
     connection, sqls, failed = connect(sf_dir), oracle_sql(), 0
     for name, plan in queries().items():

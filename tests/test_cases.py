@@ -254,3 +254,12 @@ def test_networks_as_ranges(spark, tmp_path):
     bad.write_text("network,country,continent\n10.0.0/8,A,x\n")
     with pytest.raises(Exception, match="unreadable network"):
         read_geo_country(spark, str(bad), networks=True).collect()
+
+
+def test_silent_networks_are_carried_while_they_may_rank(spark):
+    rows = [(a, 0, 1000 - a) for a in range(1000)] + [(5000 + a, s, 10_000) for a in range(5) for s in range(1, 40)]
+    carried = traffic.carried_totals(spark.createDataFrame(rows, "asn long, slice long, gain long"), 5)
+    silent = carried.where("gain = 0").groupBy("slice").count().collect()
+    assert all(r["count"] <= 1000 for r in silent if r.slice == 1) and not [r for r in silent if r.slice > 2]
+    start = {(r.asn, r.slice): r.start for r in carried.where("gain > 0").collect()}
+    assert start[5000, 3] == 20_000 and start[7, 0] == 0
