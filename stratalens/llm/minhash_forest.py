@@ -16,6 +16,8 @@ from stratalens.llm.shared import discard, stored
 from stratalens.llm.wordhash import chunks, distinct, mix, shingles, words
 
 PER_TREE = 8
+CLOSE = 2  # places within which crowded rows are candidates
+BLOCK = 512  # sets on one side of an exact comparison
 
 
 @dataclass(frozen=True)
@@ -111,22 +113,28 @@ PAIR, EDGE, CROWDED = 0, 1, 2
 def _compare(tree: np.ndarray, prefix: np.ndarray, ids: np.ndarray, new: int, near: int) -> Iterator[pa.RecordBatch]:
     """Candidates among consecutive rows of an order: those at most `near` places apart with an equal prefix.
 
-    Rows with an equal one just beyond that distance come out as CROWDED. The first len - new rows were seen before.
+    Rows with an equal one just beyond that distance come out as CROWDED; two of them are a candidate at CLOSE places. The first len - new rows were seen before.
     """
     n, old = len(ids), len(ids) - new
+
+    def equal_at(step: int, lo: int) -> np.ndarray:
+        same = (tree[lo : n - step] == tree[lo + step :]) & (prefix[lo : n - step] == prefix[lo + step :])
+        return np.flatnonzero(same) + lo
+
     crowded = np.zeros(n, dtype=bool)
-    for step in range(1, near + 2):
+    if n > near + 1:
+        left = equal_at(near + 1, 0)
+        crowded[left] = True
+        crowded[left + near + 1] = True
+    for step in range(1, near + 1):
         lo = max(old - step, 0)
-        if n - step <= lo:
-            continue
-        same = (tree[lo : n - step] == tree[lo + step :]) & (prefix[lo : n - step] == prefix[lo + step :])
-        left = np.flatnonzero(same) + lo
-        if step == near + 1:
-            crowded[left] = True
-            crowded[left + step] = True
-        elif len(left):
-            a, b = ids[left], ids[left + step]
-            yield _rows(PAIR, np.minimum(a, b), np.maximum(a, b), tree[left], prefix[left])
+        if n - step > lo:
+            left = equal_at(step, lo)
+            if step > CLOSE:
+                left = left[~(crowded[left] & crowded[left + step])]
+            if len(left):
+                a, b = ids[left], ids[left + step]
+                yield _rows(PAIR, np.minimum(a, b), np.maximum(a, b), tree[left], prefix[left])
     if crowded.any():
         at = np.flatnonzero(crowded)
         yield _rows(CROWDED, ids[at], ids[at], tree[at], prefix[at])
@@ -219,9 +227,10 @@ def _docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, forest: Forest) -> DataFrame:
-    """Full shingle sets of the texts with these ids, one row per id."""
+    """Full shingle sets of the texts with these ids, each once (an id with several texts has several).
+    """
     wanted = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    return stored(wanted.mapInArrow(_set_maker(forest.words), "id long, set array<long>").dropDuplicates(["id"]), "sets")
+    return stored(wanted.mapInArrow(_set_maker(forest.words), "id long, set array<long>").distinct(), "sets")
 
 
 def near_duplicates(
@@ -238,7 +247,7 @@ def near_duplicates(
     candidates, each class's likeliest one is confirmed on the full sets, then every candidate that still joins two
     components. Where a prefix is shared by more classes than an order's neighbourhood holds and several components,
     `_among` looks for the rest exactly. Rows with a null doc_id come back with a null component and kept true;
-    rows that repeat a doc_id come back as often, and their texts count as one node. An empty table gives no rows.
+    rows that repeat a doc_id come back as often, and a link of any of their texts is a link of the id. An empty table gives no rows.
     """
     texts = _docs(docs, id_col, text_col)
     profile = stored(
@@ -287,10 +296,10 @@ def near_duplicates(
     links_ab = links.union(more)
     labels_ab = stored(components(links_ab), "labels_b")
     discard(labels, likely, sets, walked)
-    members = stored(_crowded(crowd, labels_ab), "members")
+    crowded = stored(_crowded(crowd, labels_ab), "crowded")
     final = labels_ab
-    if not members.isEmpty():
-        rest = stored(_among(members, texts, forest), "links_c")
+    if not crowded.isEmpty():
+        rest = stored(_among(crowded, texts, forest), "links_c")
         final = stored(components(rest.union(labels_ab.select(F.col("id").alias("a"), F.col("component").alias("b")))), "labels_c")
     discard(crowd)
     owners = classes.select("h1", "h2", "n_shingles", F.col("id").alias("owner"))
@@ -319,33 +328,74 @@ def drop_near_duplicates(docs: DataFrame, forest: Forest = Forest(), id_col: str
 
 
 def _crowded(crowd: DataFrame, labels: DataFrame) -> DataFrame:
-    """(id, c): the rows of regions that hold more than a neighbourhood and more than one component."""
+    """(tree, prefix, id, c): the rows of regions that hold more than a neighbourhood and more than one component."""
     named = crowd.join(labels, "id", "left").select("tree", "prefix", "id", F.coalesce("component", "id").alias("c"))
     mixed = named.groupBy("tree", "prefix").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-    return named.join(mixed.select("tree", "prefix"), ["tree", "prefix"], "left_semi").select("id", "c").distinct()
+    return named.join(mixed.select("tree", "prefix"), ["tree", "prefix"], "left_semi")
 
 
-def _among(members: DataFrame, texts: DataFrame, forest: Forest) -> DataFrame:
-    """Links between members of different components.
+def _among(crowded: DataFrame, texts: DataFrame, forest: Forest) -> DataFrame:
+    """Links between different components that share a crowded region: exact, and without rows for pairs.
 
-    Exact: two similar sets share a shingle among each one's rarest (size - ceil(percent * size / 100) + 1), so those
-    shingles are joined, and pairs of different components confirmed on the full sets.
+    Regions that share rows are one group. A group's rows go to blocks of about BLOCK sets, a large component's in blocks of
+    their own; two blocks that hold more than one component meet in a task, which multiplies their incidence matrices
+    and returns at most one link for any two components. Blocks of one component never meet.
     """
-    sets = _sets(texts, members.select("id"), forest)
-    items = sets.select("id", F.size("set").alias("n"), F.explode("set").alias("item"))
-    counts = items.groupBy("item").agg(F.count("*").alias("df"))
-    ranked = items.join(counts, "item").groupBy("id", "n").agg(
-        F.sort_array(F.collect_list(F.struct("df", "item"))).alias("items")
+    hubs = crowded.groupBy("tree", "prefix").agg(F.min("id").alias("b"))
+    groups = components(crowded.join(hubs, ["tree", "prefix"]).select(F.col("id").alias("a"), "b"))
+    members = stored(
+        crowded.select("id", "c").distinct().join(groups, "id").select("id", "c", F.col("component").alias("g")), "members"
     )
-    length = F.col("n") - F.ceil(F.col("n") * forest.percent / 100) + 1
-    posting = stored(
-        ranked.select("id", "n", F.explode(F.slice("items", F.lit(1), length.cast("int"))).alias("e"))
-        .select("id", "n", "e.item", "e.df").where("df > 1").join(members, "id"),
-        "posting",
+    sizes = members.groupBy("g", "c").agg(F.count("*").alias("n"))
+    small = sizes.where(F.col("n") <= BLOCK).groupBy("g").agg(F.sum("n").alias("total"))
+    large = F.col("n") > BLOCK
+    parts = F.ceil(F.when(large, F.col("n")).otherwise(F.col("total")) / BLOCK).cast("long")
+    part = F.pmod(F.xxhash64(F.when(large, F.col("id")).otherwise(F.col("c"))), parts)
+    placed = stored(
+        members.join(sizes, ["g", "c"]).join(small, "g", "left")
+        .select("id", "c", "g", F.struct(F.when(large, F.col("c")).otherwise(-1).alias("of"), part.alias("part")).alias("block")),
+        "placed",
     )
-    left = posting.select("item", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    right = posting.select("item", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    pairs = left.join(right, "item").where("a < b AND ca <> cb").where(
-        F.least("na", "nb") * 100 >= forest.percent * F.greatest("na", "nb")
-    )
-    return _confirmed(pairs.select("a", "b").distinct(), sets, forest.percent)
+    blocks = placed.groupBy("g", "block").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    one, two = blocks.toDF("g", "x", "lo", "hi"), blocks.toDF("g", "y", "lo2", "hi2")
+    meet = one.join(two, "g").where("x <= y AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)")
+    meet = stored(meet.select("g", "x", "y"), "meet")
+    left = placed.join(meet, (placed["g"] == meet["g"]) & (placed["block"] == meet["x"])).select("id", "c", placed["g"], "x", "y", F.lit(0).alias("side"))
+    right = placed.join(meet.where("x <> y"), (placed["g"] == meet["g"]) & (placed["block"] == meet["y"]))
+    right = right.select("id", "c", placed["g"], "x", "y", F.lit(1).alias("side"))
+    sets = _sets(texts, members.select("id").distinct(), forest)
+    rows = left.union(right).join(sets, "id").select("g", "x", "y", "side", "id", "c", "set")
+    return rows.groupBy("g", "x", "y").applyInArrow(_matcher(forest.percent), "a long, b long")
+
+
+def _matcher(percent: int) -> Callable[[pa.Table], pa.Table]:
+    def match(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        side, ids, comps = (rows[c].to_numpy() for c in ("side", "id", "c"))
+        lists = rows["set"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        owner = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+        _, token, counts = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        sizes = np.diff(lists.offsets.to_numpy())
+        shared = np.flatnonzero(counts > 1)
+        column = np.full(len(counts), -1)
+        column[shared] = np.arange(len(shared))
+        of = column[token]
+        a = np.flatnonzero(side == 0)
+        b = np.flatnonzero(side == 1) if (side == 1).any() else a
+        both = np.zeros((len(a), len(b)), np.float32)
+        for start in range(0, len(shared), 4096):
+            used = (of >= start) & (of < start + 4096)
+            held = np.zeros((len(ids), 4096), np.float32)
+            held[owner[used], of[used] - start] = 1
+            both += held[a] @ held[b].T
+        links = 100 * both >= percent * (sizes[a][:, None] + sizes[b][None, :] - both)
+        links &= comps[a][:, None] != comps[b][None, :]
+        i, j = np.nonzero(links)
+        found: dict[tuple[int, int], tuple[int, int]] = {}
+        for u, v in zip(a[i].tolist(), b[j].tolist(), strict=True):
+            found.setdefault((min(comps[u], comps[v]), max(comps[u], comps[v])), (int(ids[u]), int(ids[v])))
+        pairs = list(found.values())
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+
+    return match
