@@ -17,6 +17,7 @@ from stratalens.llm.wordhash import chunks, distinct, mix, shingles, words
 
 PER_TREE = 8
 CLOSE = 2  # places within which crowded rows are candidates
+BROADCAST_IDS = 2_000_000  # ids that a semi join may broadcast: 16 MB
 BLOCK = 512  # sets on one side of an exact comparison
 
 
@@ -228,7 +229,11 @@ def _docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _sets(docs: DataFrame, ids: DataFrame, forest: Forest) -> DataFrame:
     """Full shingle sets of the texts with these ids, each once (an id with several texts has several).
+
+    Up to BROADCAST_IDS ids go to the texts; more are joined by a shuffle of both.
     """
+    ids = stored(ids, "ids")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     wanted = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
     return stored(wanted.mapInArrow(_set_maker(forest.words), "id long, set array<long>").distinct(), "sets")
 
