@@ -10,7 +10,7 @@ from stratalens.llm import cotrain_quality, decontaminate, minhash_forest, secre
 from stratalens.llm.shared import stored
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
-NEAR = minhash_forest.Forest(words=5, percent=80)
+NEAR = minhash_forest.Forest(words=5, percent=80, trees=28)
 
 #: SQL can't train classifiers, estimate signatures or segment text; tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -42,12 +42,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and token_ids of all documents, and whether the ids decode to the text."""
-    encoded = sentencepiece_viterbi.encode(docs, PIECES, keep=["lang", "source"])
-    found = sentencepiece_viterbi.decoded(encoded, PIECES)
-    return found.select(
-        "doc_id", "lang", "source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids",
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
-    )
+    found = sentencepiece_viterbi.encode(docs, PIECES, keep=["lang", "source"], round_trip=True)
+    n_tokens = F.size("token_ids").cast("long").alias("n_tokens")
+    return found.select("doc_id", "lang", "source", n_tokens, "token_ids", "round_trip")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

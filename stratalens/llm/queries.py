@@ -13,7 +13,7 @@ from stratalens.llm.decontaminate import contamination
 from stratalens.llm.external_shuffle import external_shuffle
 from stratalens.llm.minhash_forest import near_duplicates
 from stratalens.llm.secret_battery import secrets
-from stratalens.llm.sentencepiece_viterbi import decoded, encode
+from stratalens.llm.sentencepiece_viterbi import encode
 from stratalens.llm.url_filter import host_of, judge_urls
 from stratalens.llm.weighted_fingerprints import edited_likeness
 
@@ -122,9 +122,8 @@ FROM judged
 @query
 def op6_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of all documents, and whether they decode to the text."""
-    ids = decoded(encode(table(spark, sf_dir, "documents"), PIECES), PIECES)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return ids.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", same.alias("round_trip"))
+    ids = encode(table(spark, sf_dir, "documents"), PIECES, round_trip=True)
+    return ids.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
 
 
 @query

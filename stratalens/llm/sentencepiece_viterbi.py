@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import pairwise
+from math import inf
 
 import numpy as np
 import pyarrow as pa
@@ -15,8 +17,8 @@ from stratalens.llm.wordhash import chunks
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 LITERAL = "\n" + MARK  # stands for the mark's own character in a text
-KEPT_WORDS = 200_000  # words whose ids a worker remembers
-KEPT_PAIRS = 500_000  # likewise pairs of pieces
+KEPT_WORDS = 60_000  # words whose ids a worker remembers
+KEPT_PAIRS = 100_000  # likewise pairs of pieces
 
 
 @dataclass
@@ -34,6 +36,7 @@ class Pieces:
     merges: bool
     floor: float = 0.0
     prefixes: dict[str, bool] = field(default_factory=dict)  # of pieces; True for whole pieces
+    edges: dict[str, tuple[list, list]] = field(default_factory=dict)  # of the pieces met in this worker
     pairs: dict[tuple[str, str], bool] = field(default_factory=dict)  # met before in this worker
     words: dict[str, np.ndarray] = field(default_factory=dict)  # encoded before in this worker
 
@@ -80,12 +83,56 @@ def merged(symbols: Iterable[str], scores: dict[str, float]) -> list[str]:
     return symbols
 
 
+def _edges(piece: str, pieces: Pieces) -> tuple[list[tuple[str, float]], list[tuple[str, float]]]:
+    """The symbols that stand first, and those that stand last, while the piece's characters are merged, each with the
+    score of the merge that ends it (minus infinity for what is left in the end)."""
+    known = pieces.edges.get(piece)
+    if known is None:
+        symbols, scores = list(piece), pieces.scores
+        firsts: list[tuple[str, float]] = []
+        lasts: list[tuple[str, float]] = []
+        while len(symbols) > 1:
+            options = [(scores[u + v], -i) for i, (u, v) in enumerate(pairwise(symbols)) if u + v in scores]
+            if not options:
+                break
+            score, at = max(options)
+            if at == 0:
+                firsts.append((symbols[0], score))
+            if -at == len(symbols) - 2:
+                lasts.append((symbols[-1], score))
+            symbols[-at : 2 - at] = [symbols[-at] + symbols[1 - at]]
+        firsts.append((symbols[0], -inf))
+        lasts.append((symbols[-1], -inf))
+        known = pieces.edges[piece] = (firsts, lasts) if len(symbols) == 1 else ([], [])
+    return known
+
+
 def _follows(left: str, right: str, pieces: Pieces) -> bool:
-    """Whether merging the characters of both pieces gives just these two (or, with no left one, just the right one)."""
+    """Whether merging the characters of both pieces gives just these two (or, with no left one, just the right one).
+
+    Merges come in the order of their scores, so only the symbols on both sides of the border matter: the two stay
+    apart unless the merge across it beats, at some point, the merges that end either neighbour.
+    """
     if len(pieces.pairs) > KEPT_PAIRS:
         pieces.pairs.clear()
-    known = pieces.pairs[left, right] = merged(left + right, pieces.scores) == ([left, right] if left else [right])
-    return known
+    starts = _edges(right, pieces)[0]
+    fits = bool(starts)
+    if left and fits:
+        ends, scores, i, j = _edges(left, pieces)[1], pieces.scores, 0, 0
+        fits = bool(ends)
+        while fits:
+            (u, end), (v, other) = ends[i], starts[j]
+            across = scores.get(u + v)
+            if across is not None and across > end and across >= other:
+                fits = False
+            elif end == other == -inf:
+                break
+            elif end >= other:
+                i += 1
+            else:
+                j += 1
+    pieces.pairs[left, right] = fits
+    return fits
 
 
 def encode_words(words: Iterable[str], pieces: Pieces) -> dict[str, list[int]]:
@@ -166,12 +213,13 @@ def decode(ids: Iterable[int], pieces: Pieces) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
-def _encoder(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _encoder(shared, round_trip: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: Pieces = shared.value
         for batch in batches:
             for chunk in chunks(batch):
-                split = [marked_words(t) if t else [] for t in chunk.column(1).to_pylist()]
+                texts = chunk.column(1).to_pylist()
+                split = [marked_words(t) if t else [] for t in texts]
                 place: dict[str, int] = {}
                 order = np.array([place.setdefault(w, len(place)) for words in split for w in words], np.int64)
                 known = pieces.words
@@ -188,7 +236,12 @@ def _encoder(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
                 take = np.repeat(starts[order] - ends[:-1], lengths) + np.arange(ends[-1]) if len(order) else np.zeros(0, np.int64)
                 bounds = ends[np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)]
                 ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat[take].astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([*chunk.columns, ids], names=[*chunk.schema.names, "token_ids"])
+                columns, names = [*chunk.columns, ids], [*chunk.schema.names, "token_ids"]
+                if round_trip:
+                    back = [decode(ids[i].values.to_pylist(), pieces) == (t or "") for i, t in enumerate(texts)]
+                    columns.append(pa.array(back, pa.bool_()))
+                    names.append("round_trip")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return encode
 
@@ -205,17 +258,21 @@ def _decoder(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordB
 
 
 def encode(
-    docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()
+    docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (),
+    round_trip: bool = False,
 ) -> DataFrame:
     """(doc_id, text, columns to keep, token_ids) of whole texts; null, empty: no ids. No shuffle; the model's pieces are broadcast.
 
-    Each chunk of texts (2 MB) sorts its distinct words that the worker doesn't remember.
+    With round_trip a further column says whether the ids, decoded in the same pass, give the text (null: empty).
+
+    Each chunk of texts (1 MB) sorts its distinct words that the worker doesn't remember.
     U+2581 in a text is written as bytes, so that decoding gives back every text.
     """
     pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(model_file))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_encoder(pieces), f"{schema}, token_ids array<int>")
+    schema += ", token_ids array<int>" + ", round_trip boolean" * round_trip
+    return rows.mapInArrow(_encoder(pieces, round_trip), schema)
 
 
 def decoded(encoded: DataFrame, model_file: str) -> DataFrame:

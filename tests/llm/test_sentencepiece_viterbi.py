@@ -10,10 +10,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 def test_ids_are_the_librarys(documents):
     library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    out = decoded(encode(documents, MODEL), MODEL).collect()
+    out = decoded(encode(documents, MODEL, keep=["lang"], round_trip=True), MODEL).collect()
     assert len(out) == documents.count()
     for r in out:
-        assert r.token_ids == library.encode(r.text) and r.decoded == r.text
+        assert r.token_ids == library.encode(r.text) and r.decoded == r.text and r.round_trip
 
 
 @pytest.mark.parametrize("text", ["a  b", "   ", "\n", " lead\n\n tail ", "tab\there", "日本語 \U0001f600", "▁", "a▁b ▁▁", "x" * 3000, "éé\u0000\\"])
