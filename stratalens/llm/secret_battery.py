@@ -101,25 +101,39 @@ def _classes(data: np.ndarray) -> np.ndarray:
 _WIDTH = 65
 
 
-def _pair_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of neighbouring character classes over all the partition's texts."""
-    total = np.zeros(_WIDTH * _WIDTH, np.int64)
-    for batch in batches:
-        for chunk in chunks(batch):
-            kinds = _classes(text_buffers(chunk.column(0))[0])
-            if len(kinds) > 1:
-                total += np.bincount(kinds[:-1] * _WIDTH + kinds[1:], minlength=_WIDTH * _WIDTH)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
-
-
-def text_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Log-probabilities of each token character after another, from the pairs in all texts (add one half)."""
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_pair_counter, "pair long, n long")
-    counts = np.full((_WIDTH, _WIDTH), 0.5)
+def _pair_counter(shortest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Counts of neighbouring character classes over all the partition's texts, strings as long as a candidate aside."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(_WIDTH * _WIDTH, np.int64)
+        for batch in batches:
+            for chunk in chunks(batch, batch.schema.names[0]):
+                data, ends = text_buffers(chunk.column(0))
+                if len(data) < 2:
+                    continue
+                kinds = _classes(data)
+                starts, stops = runs(_TOKEN[data], ends)
+                steps = np.zeros(len(data) + 1, np.int64)
+                long = stops - starts >= shortest
+                np.add.at(steps, starts[long], 1)
+                np.add.at(steps, stops[long], -1)
+                plain = np.cumsum(steps[:-1]) == 0
+                total += np.bincount((kinds[:-1] * _WIDTH + kinds[1:])[plain[1:]], minlength=_WIDTH * _WIDTH)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["pair", "n"])
+
+    return count
+
+
+def text_model(docs: DataFrame, text_col: str = "text", shortest: int = 20) -> np.ndarray:
+    """Log-probabilities of each character class after another in ordinary text: the pairs of all texts but for strings
+    that are long enough to be candidates, smoothed by eight pairs of the classes' own shares."""
+    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_pair_counter(shortest), "pair long, n long")
+    counts = np.zeros((_WIDTH, _WIDTH))
     for pair, n in counted.groupBy("pair").agg(F.sum("n")).collect():  # 65 * 65 rows at most
         counts[pair // _WIDTH, pair % _WIDTH] += n
-    return np.log(counts / counts.sum(axis=1, keepdims=True))
+    share = (counts.sum(axis=0) + 0.5) / (counts.sum() + 0.5 * _WIDTH)
+    return np.log((counts + 8 * share) / (counts.sum(axis=1, keepdims=True) + 8))
 
 
 def _scanner(model, battery_of: Battery, text_col: str) -> Callable:
@@ -254,7 +268,7 @@ def secrets(docs: DataFrame, battery_of: Battery = Battery(), id_col: str = "doc
     rate of their length. Null texts count as empty: no spans. Repeated rows each come back.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    model = text_model(plain)
+    model = text_model(plain, shortest=battery_of.shortest)
     scanned = stored(scan(plain, battery_of, model, "text").drop("text"), "secrets")
     spans = _spans(evidence_floors(scanned, battery_of))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
@@ -273,7 +287,7 @@ def redacted(docs: DataFrame, battery_of: Battery = Battery(), text_col: str = "
     own = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text_name = f"c{names.index(text_col)}"
     text = F.col(text_name)
-    model = text_model(own, text_name)
+    model = text_model(own, text_name, battery_of.shortest)
     narrow = stored(scan(own.select(text), battery_of, model, text_name).drop(text_name), "secrets")
     spans = _spans(evidence_floors(narrow, battery_of))
     discard(narrow)
