@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import pairwise
+from itertools import chain, pairwise
 from math import inf
 
 import numpy as np
@@ -17,6 +17,7 @@ from stratalens.llm.wordhash import chunks
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 LITERAL = "\n" + MARK  # stands for the mark's own character in a text
+SLICE_BYTES = 6 << 20  # of text whose distinct words make one trie
 KEPT_WORDS = 60_000  # words whose ids a worker remembers
 KEPT_PAIRS = 100_000  # likewise pairs of pieces
 
@@ -38,7 +39,7 @@ class Pieces:
     prefixes: dict[str, bool] = field(default_factory=dict)  # of pieces; True for whole pieces
     edges: dict[str, tuple[list, list]] = field(default_factory=dict)  # of the pieces met in this worker
     pairs: dict[tuple[str, str], bool] = field(default_factory=dict)  # met before in this worker
-    words: dict[str, np.ndarray] = field(default_factory=dict)  # encoded before in this worker
+    words: dict[str, list[int]] = field(default_factory=dict)  # encoded before in this worker
 
     def __post_init__(self) -> None:
         self.floor = min(self.scores.values(), default=0.0) - 10.0
@@ -217,20 +218,19 @@ def _encoder(shared, round_trip: bool) -> Callable[[Iterator[pa.RecordBatch]], I
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: Pieces = shared.value
         for batch in batches:
-            for chunk in chunks(batch):
+            for chunk in chunks(batch, size=SLICE_BYTES):
                 texts = chunk.column(1).to_pylist()
                 split = [marked_words(t) if t else [] for t in texts]
                 place: dict[str, int] = {}
                 order = np.array([place.setdefault(w, len(place)) for words in split for w in words], np.int64)
                 known = pieces.words
                 new = encode_words([w for w in place if w not in known], pieces)
-                known.update({w: np.array(ids, np.int32) for w, ids in new.items()})
-                parts = [known[w] for w in place]
-                if len(known) > KEPT_WORDS:
-                    pieces.words = {}
-                sizes = np.array([len(p) for p in parts], np.int64)
+                parts = [known[w] if w in known else new[w] for w in place]
+                if len(known) < KEPT_WORDS:
+                    known.update(new)
+                sizes = np.fromiter(map(len, parts), np.int64, len(parts))
                 starts = np.concatenate([[0], np.cumsum(sizes)])[:-1] if parts else np.zeros(0, np.int64)
-                flat = np.concatenate([*parts, np.zeros(0, np.int32)])
+                flat = np.fromiter(chain.from_iterable(parts), np.int32, int(sizes.sum()))
                 lengths = sizes[order] if len(order) else np.zeros(0, np.int64)
                 ends = np.concatenate([[0], np.cumsum(lengths)])
                 take = np.repeat(starts[order] - ends[:-1], lengths) + np.arange(ends[-1]) if len(order) else np.zeros(0, np.int64)
@@ -265,7 +265,7 @@ def encode(
 
     With round_trip a further column says whether the ids, decoded in the same pass, give the text (null: empty).
 
-    Each chunk of texts (1 MB) sorts its distinct words that the worker doesn't remember.
+    Each chunk of texts (6 MB) sorts its distinct words that the worker doesn't remember.
     U+2581 in a text is written as bytes, so that decoding gives back every text.
     """
     pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(model_file))

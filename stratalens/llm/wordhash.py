@@ -59,12 +59,12 @@ def text_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]], ends - ends[0]
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about CHUNK_BYTES of text each (a longer text is a slice of its own)."""
+def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about `size` bytes of text each (a longer text is a slice of its own)."""
     _, ends = text_buffers(batch.column(batch.schema.get_field_index(column)))
     start = 0
     while start < batch.num_rows:
-        stop = int(np.searchsorted(ends, ends[start] + CHUNK_BYTES, side="right")) - 1
+        stop = int(np.searchsorted(ends, ends[start] + size, side="right")) - 1
         stop = min(max(stop, start + 1), batch.num_rows)
         yield batch.slice(start, stop - start)
         start = stop
