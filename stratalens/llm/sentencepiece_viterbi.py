@@ -18,8 +18,8 @@ MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 LITERAL = "\n" + MARK  # stands for the mark's own character in a text
 SLICE_BYTES = 6 << 20  # of text whose distinct words make one trie
-KEPT_WORDS = 60_000  # words whose ids a worker remembers
-KEPT_PAIRS = 100_000  # likewise pairs of pieces
+KEPT_WORDS = 120_000  # words whose ids a worker remembers
+KEPT_PAIRS = 300_000  # likewise pairs of pieces
 
 
 @dataclass
@@ -148,7 +148,7 @@ def encode_words(words: Iterable[str], pieces: Pieces) -> dict[str, list[int]]:
     """
     out: dict[str, list[int]] = {}
     begins, sums, open_starts, before = [0], [0.0], [[0]], ""
-    scores, prefixes, pairs = pieces.scores, pieces.prefixes, pieces.pairs
+    scores, prefixes, pairs, merges = pieces.scores, pieces.prefixes, pieces.pairs, pieces.merges
     for word in sorted(words):
         if word == LITERAL:
             out[word] = [pieces.byte_ids[b] for b in MARK.encode()]
@@ -160,24 +160,20 @@ def encode_words(words: Iterable[str], pieces: Pieces) -> dict[str, list[int]]:
             common += 1
         del begins[common + 1 :], sums[common + 1 :], open_starts[common + 1 :]
         for i in range(common + 1, n + 1):
-            best, begin, still = -1e300, i - 1, []
-            for s in open_starts[i - 1]:
+            still = [s for s in open_starts[i - 1] if word[s:i] in prefixes]
+            best, begin = -1e300, i - 1
+            for s in still:
                 piece = word[s:i]
-                whole = prefixes.get(piece)
-                if whole is None:
+                if not prefixes[piece]:
                     continue
-                still.append(s)
-                if not whole:
-                    continue
-                if not pieces.merges:
-                    score = sums[s] + scores[piece]
-                    if score > best:
-                        best, begin = score, s
-                elif best < 0:
+                if merges:
                     left = word[begins[s] : s]
                     fits = pairs.get((left, piece))
                     if fits or fits is None and _follows(left, piece, pieces):
                         best, begin = 0.0, s
+                        break
+                elif (score := sums[s] + scores[piece]) > best:
+                    best, begin = score, s
             if best == -1e300:  # a character outside the vocabulary
                 best = sums[i - 1] + pieces.floor
             still.append(i)
