@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,12 @@ from pyspark.sql import DataFrame, functions as F
 from stratalens.llm.shared import fresh
 from stratalens.llm.wordhash import chunks, words
 
-#: Each mask has eight ones; together they meet substitutions at every third, fourth or fifth token.
-MASKS = ("11111111", "111101111", "1110111011", "11011011011", "1101011001011")
+#: Each mask has eight ones. Every pattern of at most 20 % substitutions over 13 or more tokens leaves room for one of
+#: them (a test enumerates 13 tokens with 2, 15 with 3, 20 with 4 and 25 with 5; all longer ones hold one of these).
+MASKS = (
+    "1110110111", "1110010010111", "111101111", "11010101111", "1111111001", "101100011111", "110100110111",
+    "1111100010011", "100011011111", "111111000011", "101010111011", "110011110011", "11111000111",
+)
 
 MATCH = pa.struct([
     ("item_id", pa.int64()), ("doc_token", pa.int32()), ("item_token", pa.int32()),
@@ -27,8 +32,9 @@ class Overlap:
     """What counts as a leak, and how much of the benchmark goes to the executors at once.
 
     tokens: aligned tokens that an overlap needs (all of an item that has fewer). percent: share of them that must be
-    equal. shortest: items with fewer tokens are never matched. block: benchmark tokens in one broadcast; a larger
-    benchmark is scanned for in several such blocks.
+    equal. shortest: items with fewer tokens are never matched. masks: for items of `tokens` tokens and more, at any of
+    their positions; MASKS find all overlaps at these defaults (no ``missed`` patterns), other limits need others.
+    block: benchmark tokens in one broadcast; a larger benchmark is scanned for in several such blocks.
     """
 
     tokens: int = 13
@@ -51,24 +57,64 @@ def _seeds(tokens: np.ndarray, mask: str, factors: tuple[int, ...]) -> np.ndarra
     return out
 
 
-def _index(items: list[tuple[int, np.ndarray]], overlap: Overlap) -> list[tuple]:
-    """Per mask: a bitmap of the hashes' top 22 bits, the sorted hashes, and each one's item and position."""
-    masks = [(m, lambda n, m=m: n >= len(m) and n >= 8) for m in overlap.masks]
-    masks += [("1" * k, lambda n, k=k: n == k) for k in range(overlap.shortest, 8)]
+def short_masks(n: int, percent: int) -> list[tuple[str, int]]:
+    """(mask, its place) over a whole item of n tokens: whichever tokens are substituted, one mask meets equal ones only.
+
+    The item is cut into groups; a mask leaves out as many of them as there can be substitutions.
+    """
+    spare = n * (100 - percent) // 100
+    groups = np.array_split(np.arange(n), min(n, max(5, spare + 3)))
     out = []
-    for mask, fits in masks:
-        made = [(i, _seeds(tokens, mask, overlap.factors)) for i, (_, tokens) in enumerate(items) if fits(len(tokens))]
-        if made:
-            hashes = np.concatenate([h for _, h in made])
-            item = np.concatenate([np.full(len(h), i, np.int32) for i, h in made])
-            position = np.concatenate([np.arange(len(h), dtype=np.int32) for _, h in made])
-            order = np.argsort(hashes, kind="stable")
-            bitmap = np.zeros(1 << 22, dtype=bool)
-            bitmap[(hashes >> np.uint64(42)).astype(np.int64)] = True
-            out.append((mask, bitmap, hashes[order], item[order], position[order]))
+    for left_out in combinations(range(len(groups)), spare):
+        kept = [i for g, group in enumerate(groups) if g not in left_out for i in group.tolist()]
+        out.append(("".join("01"[i in kept] for i in range(kept[0], kept[-1] + 1)), kept[0]))
     return out
 
 
+def missed(masks: tuple[str, ...], n: int, substitutions: int) -> list[tuple[int, ...]]:
+    """The places of substitutions in n aligned tokens for which no mask meets equal tokens only."""
+    ones = [sum(1 << (i + at) for i, c in enumerate(m) if c == "1") for m in masks for at in range(n - len(m) + 1)]
+    patterns = ((p, sum(1 << i for i in p)) for p in combinations(range(n), substitutions))
+    return [p for p, bits in patterns if all(bits & m for m in ones)]
+
+
+@dataclass(frozen=True)
+class _Block:
+    """Items: ids, all tokens, and where each item's begin. seeds: per mask, its hashes over the items.
+
+    seeds hold the mask, the hashes' shift to a place in the bitmap, the bitmap, the sorted hashes and the token of each.
+    """
+
+    ids: list[int]
+    tokens: np.ndarray
+    starts: np.ndarray
+    seeds: list[tuple[str, np.uint64, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _block(items: list[tuple[int, np.ndarray]], overlap: Overlap) -> _Block:
+    flat = np.concatenate([tokens for _, tokens in items])
+    lengths = np.array([len(tokens) for _, tokens in items])
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    places: dict[str, list[np.ndarray]] = {}
+    for mask in overlap.masks:
+        fits = np.repeat(np.where(lengths >= overlap.tokens, starts[1:] - len(mask), -1), lengths)
+        places.setdefault(mask, []).append(np.flatnonzero(np.arange(len(flat)) <= fits))
+    for n in np.unique(lengths[lengths < overlap.tokens]).tolist():
+        for mask, at in short_masks(n, overlap.percent):
+            places.setdefault(mask, []).append(starts[:-1][lengths == n] + at)
+    seeds = []
+    for mask, parts in places.items():
+        place = np.concatenate(parts)
+        if len(place):
+            hashes = _seeds(flat, mask, overlap.factors)[place]
+            order = np.argsort(hashes, kind="stable")
+            shift = np.uint64(64 - min(22, max(12, len(place).bit_length() + 6)))
+            bitmap = np.zeros(1 << (64 - int(shift)), dtype=bool)
+            bitmap[(hashes >> shift).astype(np.int64)] = True
+            seeds.append((mask, shift, bitmap, hashes[order], place[order].astype(np.int32)))
+    return _Block([i for i, _ in items], flat, starts, seeds)
+
+
 def longest_overlap(equal: np.ndarray, percent: int) -> tuple[int, int]:
     """[start, end) of the longest stretch with at least percent of its tokens equal; the first of several."""
     sums = np.concatenate([[0], np.cumsum(np.where(equal, 100 - percent, -percent))])
@@ -86,29 +132,80 @@ def longest_overlap(equal: np.ndarray, percent: int) -> tuple[int, int]:
     return best
 
 
-def _scanner(items: list[tuple[int, np.ndarray]], index, overlap: Overlap, column: str, text: str) -> Callable:
-    def matches(tokens: np.ndarray, bounds: np.ndarray) -> list[list[dict]]:
-        out: list[list[dict]] = [[] for _ in range(len(bounds) - 1)]
-        seen: set[tuple[int, int, int]] = set()
-        for mask, bitmap, hashes, item, position in index.value:
+def _pieces(sizes: np.ndarray, limit: int) -> Iterator[slice]:
+    """Slices of about `limit` in sum, at least one row each."""
+    sums = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):
+        stop = int(np.searchsorted(sums, (sums[start - 1] if start else 0) + limit, "right"))
+        stop = max(stop, start + 1)
+        yield slice(start, stop)
+        start = stop
+
+
+def _each(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows that stand for `sizes` entries each: every entry's row, and its number in the row."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return row, np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    rows = rows[np.lexsort(rows.T[::-1])]
+    return rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])] if len(rows) else rows
+
+
+def _holds_overlap(equal: np.ndarray, sizes: np.ndarray, need: np.ndarray, percent: int) -> np.ndarray:
+    """For each diagonal (sizes of them, end to end): has some stretch of `need` or more tokens percent of them equal?"""
+    row, at = _each(sizes + 1)
+    steps = np.zeros(len(row), np.int64)
+    steps[at > 0] = np.where(equal, 100 - percent, -percent)
+    sums = np.cumsum(steps)
+    sums -= sums[at == 0][row] + row * (200 * (int(sizes.max()) + 1))  # each row's sums lie below the last row's
+    least = np.minimum.accumulate(sums)
+    long = np.flatnonzero(at >= need[row])
+    return np.bincount(row[long], sums[long] >= least[long - need[row[long]]], len(sizes)) > 0
+
+
+def _scanner(block, overlap: Overlap, column: str, text: str) -> Callable:
+    def diagonals(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Distinct (text, item, token of the texts that faces the item's first) of all equal hashes."""
+        starts = block.value.starts
+        found = [np.zeros((0, 3), np.int64)]
+        for mask, shift, bitmap, hashes, place in block.value.seeds:
             seeds = _seeds(tokens, mask, overlap.factors)
-            at = np.flatnonzero(bitmap[(seeds >> np.uint64(42)).astype(np.int64)])
+            at = np.flatnonzero(bitmap[(seeds >> shift).astype(np.int64)])
             low, high = np.searchsorted(hashes, seeds[at], "left"), np.searchsorted(hashes, seeds[at], "right")
-            hit = high > low
-            owner = np.searchsorted(bounds, at[hit], "right") - 1
-            for where, a, b, doc in zip(at[hit].tolist(), low[hit].tolist(), high[hit].tolist(), owner.tolist(), strict=True):
-                if where + len(mask) <= bounds[doc + 1]:
-                    seen.update((doc, int(item[j]), where - int(position[j])) for j in range(a, b))
-        for doc, i, diagonal in sorted(seen):
-            item_id, wanted = items.value[i]
-            start = max(diagonal, int(bounds[doc]))
-            stop = min(diagonal + len(wanted), int(bounds[doc + 1]))
-            equal = tokens[start:stop] == wanted[start - diagonal : stop - diagonal]
-            a, b = longest_overlap(equal, overlap.percent)
-            if b - a >= min(overlap.tokens, len(wanted)):
-                out[doc].append({
-                    "item_id": item_id, "doc_token": start + a - int(bounds[doc]), "item_token": start - diagonal + a,
-                    "length": b - a, "equal": int(equal[a:b].sum()),
+            doc = np.searchsorted(bounds, at, "right") - 1
+            hit = (high > low) & (at + len(mask) <= bounds[doc + 1])
+            at, low, high, doc = at[hit], low[hit], high[hit], doc[hit]
+            for piece in _pieces(high - low, 1 << 20):
+                row, j = _each((high - low)[piece])
+                token = place[low[piece][row] + j]
+                item = np.searchsorted(starts, token, "right") - 1
+                found.append(_distinct(np.column_stack([doc[piece][row], item, at[piece][row] - token + starts[item]])))
+        return _distinct(np.concatenate(found))
+
+    def matches(tokens: np.ndarray, bounds: np.ndarray) -> list[list[dict]]:
+        out: list[list[dict]] = [[] for _ in range(len(bounds) - 1)]
+        ids, wanted, starts = block.value.ids, block.value.tokens, block.value.starts
+        doc, item, diagonal = diagonals(tokens, bounds).T
+        length = starts[item + 1] - starts[item]
+        start, stop = np.maximum(diagonal, bounds[doc]), np.minimum(diagonal + length, bounds[doc + 1])
+        need = np.minimum(overlap.tokens, length)
+        full = stop - start >= need
+        doc, item, diagonal, start, stop, need = (x[full] for x in (doc, item, diagonal, start, stop, need))
+        for piece in _pieces(stop - start, 1 << 20):
+            sizes = (stop - start)[piece]
+            row, j = _each(sizes)
+            ours = start[piece][row] + j
+            equal = tokens[ours] == wanted[ours - diagonal[piece][row] + starts[item[piece]][row]]
+            ends = np.cumsum(sizes)
+            for r in np.flatnonzero(_holds_overlap(equal, sizes, need[piece], overlap.percent)).tolist():
+                i, same = piece.start + r, equal[ends[r] - sizes[r] : ends[r]]
+                a, b = longest_overlap(same, overlap.percent)
+                out[doc[i]].append({
+                    "item_id": ids[item[i]], "doc_token": int(start[i] + a - bounds[doc[i]]),
+                    "item_token": int(start[i] - diagonal[i] + a), "length": b - a, "equal": int(same[a:b].sum()),
                 })
         return out
 
@@ -147,11 +244,10 @@ def with_overlaps(
     def flush() -> None:
         nonlocal out
         if blocks[-1]:
-            found = spark.sparkContext.broadcast(blocks[-1])
-            index = spark.sparkContext.broadcast(_index(blocks[-1], overlap))
+            block = spark.sparkContext.broadcast(_block(blocks[-1], overlap))
             names.append(fresh(out, column))
             schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema] + [f"`{names[-1]}` {MATCHES}"])
-            out = out.mapInArrow(_scanner(found, index, overlap, names[-1], text_col), schema)
+            out = out.mapInArrow(_scanner(block, overlap, names[-1], text_col), schema)
             blocks[-1] = []
 
     for row in items.orderBy("item_id").toLocalIterator():

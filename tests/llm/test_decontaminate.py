@@ -1,6 +1,8 @@
+import itertools
+
 import numpy as np
 
-from stratalens.llm.decontaminate import Overlap, contamination, decontaminate, longest_overlap, with_overlaps
+from stratalens.llm.decontaminate import Overlap, contamination, decontaminate, longest_overlap, missed, short_masks, with_overlaps
 
 ITEM = "what is the name of the river that flows past the old stone mill near town"
 
@@ -56,3 +58,25 @@ def test_odd_rows(spark, odd, empty):
     assert decontaminate(empty, bench).collect() == []
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate(odd, none).count() == 11 and contamination(odd, none).where("contaminated").isEmpty()
+
+
+def test_masks_meet_every_pattern_of_substitutions():
+    # 13 or more tokens: what is longer holds one of these stretches, since one half of it is at least as equal as the whole.
+    assert [missed(Overlap().masks, n, s) for n, s in ((13, 2), (14, 2), (15, 3), (16, 3), (20, 4), (25, 5))] == [[]] * 6
+    for n in range(5, 13):
+        whole = ["0" * at + m + "0" * (n - at - len(m)) for m, at in short_masks(n, 80)]
+        assert missed(tuple(whole), n, n // 5) == [] and min(m.count("1") for m in whole) >= 4
+
+
+def test_substitutions_at_any_place(spark):
+    words = [f"w{chr(97 + i)}" for i in range(20)]
+    bench = spark.createDataFrame([(n, " ".join(f"{w}{chr(96 + n)}" for w in words[:n])) for n in range(5, 21)], "item_id long, text string")
+    docs, want = [], {}
+    for n, k in [(n, k) for n in range(5, 21) for k in (n // 5, n // 5 + 1)]:
+        for places in itertools.islice(itertools.combinations(range(n), k), 0, None, 1 if k < 3 else 17):
+            edited = " ".join("zz" if i in places else f"{w}{chr(96 + n)}" for i, w in enumerate(words[:n]))
+            docs.append((len(docs), f"before {edited} after"))
+            best = longest_overlap(np.array([i not in places for i in range(n)]), 80)
+            want[len(docs) - 1] = [n] if best[1] - best[0] >= min(n, 13) else []
+    assert sum(map(bool, want.values())) > 400 and not all(want.values())
+    assert flags(contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench)) == want
