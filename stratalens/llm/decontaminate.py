@@ -39,7 +39,7 @@ class Overlap:
 
     tokens: int = 13
     percent: int = 80
-    shortest: int = 5
+    shortest: int = 1
     masks: tuple[str, ...] = MASKS
     block: int = 500_000
     factors: tuple[int, ...] = field(
@@ -231,7 +231,8 @@ def with_overlaps(
 ) -> DataFrame:
     """docs with the benchmark overlaps of each text in `column`; no shuffle, whatever the number of hits.
 
-    Tokens are runs of letters, digits and non-ASCII characters, lower-cased (ASCII). Every mask is hashed at every position of
+    Tokens are runs of letters, digits and non-ASCII characters, lower-cased (ASCII); in scripts without blanks between words,
+    single code points. Items of one to four tokens match where all their tokens follow each other, unchanged. Every mask is hashed at every position of
     every text and item; equal hashes name a diagonal, on which the longest stretch with enough equal tokens is
     verified. Null, empty and wordless texts or items match nothing; repeated items each match.
     """

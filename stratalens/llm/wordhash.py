@@ -20,6 +20,14 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LETTER = np.zeros(256, dtype=bool)
 _LETTER[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
+#: Code points of scripts without blanks between words, first and last: Thai to Tibetan, Myanmar, Khmer, Tai Le and New
+#: Tai Lue, Tai Tham and Balinese, CJK signs with kana, Bopomofo and Han (not Hangul), Yi, Javanese, Myanmar and Tai Viet,
+#: Han, full-width forms, kana and Han beyond the first plane.
+_UNSPACED = np.array([
+    (0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F),
+    (0x2E80, 0x312F), (0x3190, 0x9FFF), (0xA000, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF),
+    (0xFE30, 0xFE4F), (0xFF00, 0xFF9F), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF),
+])
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
@@ -81,17 +89,37 @@ def runs(inside: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def _unspaced(data: np.ndarray) -> np.ndarray:
+    """Where in UTF-8 bytes each code point of a script without blanks begins, and where it ends."""
+    at = np.flatnonzero(data >= 0xE0)  # the lead bytes of three and four bytes; all such scripts are among them
+    if not len(at):
+        return at
+    four = data[at] >= 0xF0
+    size = np.where(four, 4, 3)
+    point = np.where(four, data[at] & 0x07, data[at] & 0x0F).astype(np.int64)
+    for i in (1, 2, 3):
+        more = size > i
+        point[more] = point[more] << 6 | (data[at[more] + i] & 0x3F)
+    row = np.searchsorted(_UNSPACED[:, 0], point, "right") - 1
+    inside = (row >= 0) & (point <= _UNSPACED[row, 1])
+    return np.concatenate([at[inside], at[inside] + size[inside]])
+
+
 def words(texts: pa.Array, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start byte, end byte) of each word, and for each text where its words begin (n + 1 numbers).
 
-    plain: ASCII signs and controls also part words, so that punctuation does not count.
+    plain: ASCII signs and controls also part words, so that punctuation does not count, and each code point of a script
+    without blanks between words (Chinese, Japanese, Thai, ...) is a word of its own.
     """
     data, ends = text_buffers(texts)
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, np.zeros(len(ends), np.int64)
-    starts, stops = runs(_LETTER[data] if plain else ~_SPACE[data], ends)
+    if plain:
+        starts, stops = runs(_LETTER[data], np.concatenate([ends, _unspaced(data)]))
+    else:
+        starts, stops = runs(~_SPACE[data], ends)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE[data] * _power("up", n), out=sums[1:])
     hashes = mix((sums[stops] - sums[starts]) * _power("down", n)[starts])

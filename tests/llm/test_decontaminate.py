@@ -1,8 +1,10 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 
 from stratalens.llm.decontaminate import Overlap, contamination, decontaminate, longest_overlap, missed, short_masks, with_overlaps
+from stratalens.llm.wordhash import words
 
 ITEM = "what is the name of the river that flows past the old stone mill near town"
 
@@ -80,3 +82,26 @@ def test_substitutions_at_any_place(spark):
             want[len(docs) - 1] = [n] if best[1] - best[0] >= min(n, 13) else []
     assert sum(map(bool, want.values())) > 400 and not all(want.values())
     assert flags(contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench)) == want
+
+
+def test_short_items_and_scripts_without_blanks(spark):
+    han = "河流经过老磨坊旁边的城镇叫什么名字"
+    thai = "แม่น้ำที่ไหลผ่านโรงสีเก่าชื่ออะไร"
+    items = [(1, "quokka"), (2, "red quokka"), (3, "one, red quokka!"), (4, "see one red quokka"), (5, "we see one red quokka"), (6, han), (7, thai), (8, "貓"), (9, "?!")]
+    docs = [
+        (1, "a Quokka."), (2, "the red quokka sat"), (3, "one red -- quokka"), (4, "they see one red quokka"), (5, "we see one blue quokka"),
+        (6, f"前面的文字{han}后面的文字"), (7, f"前{han[:4]}山{han[5:11]}水{han[12:]}后"), (8, f"ก่อน{thai}หลัง"), (9, "quokkas redquokka"),
+        (10, "黑貓白狗"), (11, han[:10]), (12, "ones"), (13, "? !"),
+    ]
+    want = {
+        1: [1], 2: [1, 2], 3: [1, 2, 3], 4: [1, 2, 3, 4, 5], 5: [1, 5], 6: [6], 7: [6], 8: [7], 9: [], 10: [8], 11: [], 12: [], 13: [],
+    }
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert flags(contamination(spark.createDataFrame(docs, "doc_id long, text string"), bench)) == want
+
+
+def test_tokens_of_mixed_scripts():
+    text = "Das ÄÖ貓x한국어 カナ。ไทย𠀀é"
+    _, starts, stops, _ = words(pa.array([text, None, "貓", "貓"]), plain=True)
+    data = (text + "貓貓").encode()
+    assert [data[a:b].decode() for a, b in zip(starts, stops, strict=True)] == ["Das", "ÄÖ", "貓", "x한국어", "カ", "ナ", "。", "ไ", "ท", "ย", "𠀀", "é", "貓", "貓"]
