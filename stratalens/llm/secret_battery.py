@@ -90,6 +90,19 @@ def battery(text: str) -> tuple[str, float, float, float] | None:
     return name, uniform, min(of_runs, 1.0), min(serial, 1.0)
 
 
+_MIXED = re.compile(r"[+/].*[-_]|[-_].*[+/]", re.DOTALL)
+#: What a run of '+' or '/' with '-' or '_', which no encoding holds, is split into: the longest parts in each alphabet.
+_PARTS = [re.compile(f"[A-Za-z0-9{signs}]+") for signs in ("+/", "_-", "")]
+
+
+def parts(run: str, shortest: int) -> list[tuple[int, int]]:
+    """Places of the strings to test in a run of token characters: all of it, or where no encoding holds it its parts of
+    base64, base64url and base62 characters; parts may overlap."""
+    if not _MIXED.search(run):
+        return [(0, len(run))] if len(run) >= shortest else []
+    return sorted({m.span() for p in _PARTS for m in p.finditer(run) if m.end() - m.start() >= shortest})
+
+
 def _classes(data: np.ndarray) -> np.ndarray:
     """Bytes as classes 0..63: one per token character, 63 for the rest."""
     table = np.full(256, 64, np.int64)
@@ -175,15 +188,15 @@ def _scanner(model, battery_of: Battery, text_col: str) -> Callable:
         starts, stops = runs(_TOKEN[data], ends) if len(data) else (starts, stops)
         long = stops - starts >= battery_of.shortest
         for a, b, doc in zip(starts[long].tolist(), stops[long].tolist(), (np.searchsorted(ends, starts[long], "right") - 1).tolist(), strict=True):
-            body = raw[a:b].decode()
-            tested = battery(body)
-            if tested is None or min(tested[1:]) < battery_of.reject:
-                continue
-            kinds = _classes(data[max(a - 1, int(ends[doc])) : b])
-            ratio = (len(kinds) - 1) * -math.log(len(ENCODINGS[tested[0]])) - float(model.value[kinds[:-1], kinds[1:]].sum())
-            p, q = points(doc, a, b)
-            stratum = int(np.searchsorted(strata, b - a, "right")) - 1
-            candidates[doc].append((p, q, stratum, int(max(0.0, min(ratio, 500.0)) * 4)))
+            for u, v in ((a + u, a + v) for u, v in parts(raw[a:b].decode(), battery_of.shortest)):
+                tested = battery(raw[u:v].decode())
+                if tested is None or min(tested[1:]) < battery_of.reject:
+                    continue
+                kinds = _classes(data[max(u - 1, int(ends[doc])) : v])
+                ratio = (len(kinds) - 1) * -math.log(len(ENCODINGS[tested[0]])) - float(model.value[kinds[:-1], kinds[1:]].sum())
+                p, q = points(doc, u, v)
+                stratum = int(np.searchsorted(strata, v - u, "right")) - 1
+                candidates[doc].append((p, q, stratum, int(max(0.0, min(ratio, 500.0)) * 4)))
         return found, candidates
 
     found_type = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
@@ -240,14 +253,25 @@ def evidence_floors(scanned: DataFrame, battery_of: Battery) -> list[int]:
 
 
 def _spans(floors: list[int]) -> F.Column:
-    """All spans: the patterns', then the battery's that touch none of these, by start and kind."""
+    """All spans: the patterns', then the battery's that touch none of these (overlapping ones as one), by start and kind."""
     limits = F.array(*[F.lit(x) for x in floors])
     passed = F.filter("_candidates", lambda c: c["evidence"] >= F.element_at(limits, c["stratum"] + 1))
     apart = F.filter(
         passed, lambda c: ~F.exists("_found", lambda f: (f["start"] < c["end"]) & (c["start"] < f["end"]))
     )
+    ordered = F.sort_array(F.transform(apart, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))))
+
+    def joined(acc: F.Column, c: F.Column) -> F.Column:
+        last = F.get(acc, F.size(acc) - 1)
+        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], c["end"]).alias("end"))
+        return F.when(last["end"] > c["start"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(both))).otherwise(
+            F.concat(acc, F.array(c))
+        )
+
+    merged = F.aggregate(ordered, F.array().cast("array<struct<start: bigint, end: bigint>>"), joined)
     random = F.transform(
-        apart, lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end"))
+        F.when(F.size(apart) > 1, merged).otherwise(ordered),
+        lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")),
     )
     return F.sort_array(F.concat("_found", random))
 
@@ -265,7 +289,7 @@ def secrets(docs: DataFrame, battery_of: Battery = Battery(), id_col: str = "doc
     Spans are kind:start:end in code points, end exclusive, by start and then kind. The patterns' spans always stay.
     The battery adds runs of 20 or more base64 characters whose tests don't reject uniform randomness in the narrowest
     encoding that holds them, if the corpus's own character pairs make them unlikely enough for the false-discovery
-    rate of their length. Null texts count as empty: no spans. Repeated rows each come back.
+    rate of their length. A run that no encoding holds ('+' or '/' with '-' or '_') is tested in ``parts``. Null texts count as empty: no spans. Repeated rows each come back.
     """
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     model = text_model(plain, shortest=battery_of.shortest)

@@ -1,7 +1,7 @@
 import random
 import re
 
-from stratalens.llm.secret_battery import battery, redacted, secrets
+from stratalens.llm.secret_battery import battery, parts, redacted, secrets
 
 PATTERNS = {
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
@@ -59,3 +59,29 @@ def test_redaction_and_odd_rows(spark, odd, empty):
     assert same.columns == odd.columns and sorted(map(str, same.collect())) == sorted(map(str, odd.collect()))
     assert redacted(empty).collect() == [] and secrets(empty).collect() == []
     assert secrets(odd).count() == 11
+
+
+def test_keys_in_paths_and_urls(spark, documents):
+    rng = random.Random(6)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    around = ["/api_v1/{}", "user-data/{}", "see https://example.org/a-b/some/path_of/{}/edit-this-page", "x_y/{}-and_more"]
+    signs = ["", "+/", "-_", ""]
+    texts = [r.text for r in documents.collect()]
+    rows, keys = [(1000 + i, t) for i, t in enumerate(texts)], {}
+    for i in range(40):
+        keys[i] = "k" + "".join(rng.choice(base62 + signs[i // 4 % 4] * (i % 4 < 2)) for _ in range(42)) + "Z"
+        rows.append((i, f"é {around[i % 4].format(keys[i])} end"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in secrets(frame).where("doc_id < 1000").collect()}
+    clean = {r.doc_id: r.text for r in redacted(frame).where("doc_id < 1000").collect()}
+    assert sum(out[i].n_random == 1 for i in keys) >= 38
+    assert sum(keys[i] not in clean[i] and "[SECRET]" in clean[i] for i in keys) >= 38
+    for r in out.values():
+        spans = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s]
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_parts_of_runs():
+    assert parts("a" * 30, 20) == [(0, 30)] and parts("a" * 30 + "-_", 20) == [(0, 32)] and parts("a" * 19, 20) == []
+    assert parts("api_v1/" + "a" * 20, 20) == [(4, 27), (7, 27)]
+    assert parts("a" * 10 + "-" + "a" * 10 + "/" + "a" * 10 + "+" + "a" * 10, 20) == [(0, 21), (11, 43)]
