@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -22,8 +23,9 @@ _MUL = [np.uint32(x) for x in (0x01000193, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)]
 @dataclass(frozen=True)
 class Training:
     """per_language: documents that a language's sample holds at most, the first by a hash of doc_id. sequences:
-    code-switched sequences of `length` words made of spans of 3 to 12 words from these documents. rounds: gradient
-    steps. ridge: weight of the squared norm.
+    code-switched sequences of `length` words made of spans of 3 to 12 words from these documents. A word is a run of
+    letters (``l'eau`` is two), as where texts are labelled; runs without a letter are left out. rounds: gradient steps.
+    ridge: weight of the squared norm.
     """
 
     per_language: int = 150
@@ -140,56 +142,56 @@ def marginals(emissions: np.ndarray, transitions: np.ndarray, first: np.ndarray)
     return out / out.sum(axis=1, keepdims=True)
 
 
-def train(samples: list[tuple[str, str]], training: Training = Training()) -> Field | None:
-    """A field from (language, text) pairs, fitted to code-switched sequences made of their spans; None without samples."""
-    languages = sorted({lang for lang, _ in samples})
-    by = {lang: [w for text in (t for g, t in samples if g == lang) if (w := text.split())] for lang in languages}
-    languages = [lang for lang in languages if by[lang]]
-    if not languages:
-        return None
+_RUN = re.compile(r"[A-Za-z\x80-\U0010ffff]+")
+
+
+def letter_runs(text: str) -> list[str]:
+    """The words of ``_features`` that have a letter."""
+    return [w for w in _RUN.findall(text) if any(c.isalpha() for c in w)]
+
+
+def sequences(by: list[list[list[str]]], training: Training) -> tuple[list[str], np.ndarray]:
+    """Lines of `length` words each, and each word's language: spans of the texts (lists of words) of each language."""
     rng = np.random.Generator(np.random.PCG64(3))
-    k, length = len(languages), training.length
     lines, labels = [], []
-    while len(lines) < training.sequences:
+    for _ in range(training.sequences):
         line: list[str] = []
         gold: list[int] = []
         one = rng.random() < 0.5  # half the sequences keep to one language
-        y = int(rng.integers(k))
-        for _ in range(200):
+        y = int(rng.integers(len(by)))
+        while len(line) < training.length:
             if not one:
-                y = int(rng.integers(k))
-            texts = by[languages[y]]
-            words = texts[int(rng.integers(len(texts)))]
+                y = int(rng.integers(len(by)))
+            words = by[y][int(rng.integers(len(by[y])))]
             at, size = int(rng.integers(len(words))), int(rng.integers(3, 13))
-            span = [w for w in words[at : at + size] if any(c.isalpha() for c in w)]
-            line += span
-            gold += [y] * len(span)
-            if len(line) >= length:
-                break
-        lines.append(" ".join(line[:length]))
-        labels.append(gold[:length])
-    data, ends = text_buffers(pa.array(lines, pa.large_string()))
-    first, stop, lexicon, grams, bounds = _features(data, ends)
-    counts = np.diff(bounds)
-    # A word like a-b is two words here, so only lines whose words are their labels' are kept.
-    aligned = [i for i in np.flatnonzero(counts).tolist() if counts[i] == len(labels[i])]
-    if not aligned:
+            line += words[at : at + size]
+            gold += [y] * len(words[at : at + size])
+        lines.append(" ".join(line[: training.length]))
+        labels.append(gold[: training.length])
+    return lines, np.array(labels)
+
+
+def train(samples: list[tuple[str, str]], training: Training = Training()) -> Field | None:
+    """A field from (language, text) pairs, fitted to code-switched sequences made of their spans; None without samples."""
+    languages = sorted({lang for lang, _ in samples})
+    by = {lang: [w for text in (t for g, t in samples if g == lang) if (w := letter_runs(text))] for lang in languages}
+    languages = [lang for lang in languages if by[lang]]
+    if not languages:
         return None
-    width = min(int(counts[i]) for i in aligned)
-    at = np.concatenate([np.arange(bounds[i], bounds[i] + width) for i in aligned])
-    gold = np.array([labels[i][:width] for i in aligned])
-    first, stop, lexicon = first[at], stop[at], lexicon[at]
-    lines_n = len(aligned)
+    k, width, lines_n = len(languages), training.length, training.sequences
+    lines, gold = sequences([by[lang] for lang in languages], training)
+    data, ends = text_buffers(pa.array(lines, pa.large_string()))
+    first, stop, lexicon, grams, _ = _features(data, ends)  # width words in each line
     weights = [np.zeros((BUCKETS, k), np.float32) for _ in range(4)]
     transitions = np.zeros((k, k))
     squares = [np.full_like(w, 1e-8) for w in weights]
     trans_squares = np.full_like(transitions, 1e-8)
-    owner = np.repeat(np.arange(len(at)), stop - first)
+    owner = np.repeat(np.arange(len(first)), stop - first)
     gram_at = np.concatenate([np.arange(a, b) for a, b in zip(first.tolist(), stop.tolist(), strict=True)])
     used = [g[gram_at] for g in grams]
     truth = np.eye(k)[gold]
     empirical = np.einsum("sti,stj->ij", truth[:, :-1], truth[:, 1:])
-    begins = np.zeros(len(at), dtype=bool)
+    begins = np.zeros(len(first), dtype=bool)
     begins[::width] = True
     for _ in range(training.rounds):
         e = _emissions(weights, first, stop, lexicon, grams)

@@ -2,8 +2,10 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
-from stratalens.llm.crf_language import fit, held_out, identify, marginals, train
+from stratalens.llm.crf_language import Training, _features, fit, held_out, identify, letter_runs, marginals, sequences, train
+from stratalens.llm.wordhash import text_buffers
 
 
 def test_marginals_by_brute_force():
@@ -55,3 +57,30 @@ def test_odd_rows(spark, odd, empty, documents):
     assert {r.lang_pred for r in identify(digits, field).collect()} == {"und"}
     assert fit(empty) is None and train([]) is None
     assert {r.lang_pred for r in identify(odd, None).collect()} == {"und"}
+
+
+def test_words_with_inner_signs_and_texts_of_few_words():
+    """Every sequence has its full length, whatever the words: none is dropped or cut."""
+    french = ["l'eau d'un qu'il s'est n'a c'est j'ai l'or d'or a1b — x.y"] * 3
+    junk = ["1234 5678 90 " * 50 + "zq", "1 2 3 zw"]
+    samples = [("fr", t) for t in french] + [("junk", t) for t in junk] + [("en", "the man said that it was his own house on a hill")]
+    by = [[letter_runs(t) for g, t in samples if g == lang] for lang in ("en", "fr", "junk")]
+    assert by[1][0][:4] == ["l", "eau", "d", "un"] and by[1][0][-4:] == ["a", "b", "x", "y"] and by[2] == [["zq"], ["zw"]]
+    training = Training(sequences=200)
+    lines, labels = sequences(by, training)
+    assert labels.shape == (200, 24) and set(np.unique(labels)) == {0, 1, 2}
+    assert set(np.diff(_features(*text_buffers(pa.array(lines, pa.large_string())))[4])) == {24}
+    for line, gold in zip(lines, labels, strict=True):
+        assert all(any(w in text for text in by[y]) for w, y in zip(line.split(), gold, strict=True))
+    field = train(samples, training)
+    assert field.languages == ["en", "fr", "junk"] and all(np.abs(field.weights[3][:, y]).max() > 0.5 for y in range(3))
+    off = field.transitions - np.diag(np.diag(field.transitions))
+    assert min(np.diag(field.transitions)) > off.max()
+
+
+def test_apostrophe_language_is_learned(spark):
+    french = "l'eau d'un qu'il s'est n'a c'est j'ai l'or d'or m'a t'en qu'on"
+    english = "the man said that it was his own house on a hill by the sea"
+    field = train([("fr", french), ("en", english)] * 5, Training(sequences=300))
+    frame = spark.createDataFrame([(1, "qu'il n'a d'eau"), (2, "the house was his")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in identify(frame, field).collect()} == {1: "fr", 2: "en"}
