@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from stratalens.llm.shared import discard, stored
 
@@ -63,3 +63,9 @@ def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
         state = tuple(now)
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots)
+
+
+def repeated_ids(rows: DataFrame, kind: Column) -> DataFrame:
+    """The doc_ids (column doc_id, distinct) whose rows differ in `kind`."""
+    seen = rows.groupBy("doc_id").agg(F.min(kind).alias("least"), F.max(kind).alias("most"))
+    return seen.where("least <> most").select("doc_id")

@@ -14,6 +14,7 @@ from stratalens.llm.external_shuffle import external_shuffle
 from stratalens.llm.minhash_forest import near_duplicates
 from stratalens.llm.secret_battery import secrets
 from stratalens.llm.sentencepiece_viterbi import encode
+from stratalens.llm.simhash_bktree import near_fingerprints
 from stratalens.llm.url_filter import host_of, judge_urls
 from stratalens.llm.weighted_fingerprints import edited_likeness
 
@@ -139,3 +140,11 @@ def op8_cotrain_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents by text, by metadata and by both, and which are kept."""
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op12_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and components of those at two or fewer differing bits."""
+    found = near_fingerprints(table(spark, sf_dir, "documents"))
+    mark = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", mark.alias("fingerprint"), "component_id")
