@@ -10,6 +10,7 @@ from stratalens.llm.chat_prefix_tree import prefix_tree, read_back
 from stratalens.llm.cotrain_quality import fit as fit_quality, score_quality
 from stratalens.llm.crf_language import fit as fit_language, held_out, identify
 from stratalens.llm.decontaminate import contamination
+from stratalens.llm.dialog_repair import damaged, repair
 from stratalens.llm.external_shuffle import external_shuffle
 from stratalens.llm.minhash_forest import near_duplicates
 from stratalens.llm.secret_battery import secrets
@@ -148,3 +149,16 @@ def op12_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_fingerprints(table(spark, sf_dir, "documents"))
     mark = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return found.select("doc_id", mark.alias("fingerprint"), "component_id")
+
+
+@query
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of all conversations after damage, and their cheapest repair."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair(damaged(turns))
+    every = turns.select("conv_id").distinct()
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return every.join(found, F.col("conv_id").cast("string").eqNullSafe(F.col("conv")), "left").select(
+        "conv_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
