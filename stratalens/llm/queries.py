@@ -16,6 +16,7 @@ from stratalens.llm.minhash_forest import near_duplicates
 from stratalens.llm.secret_battery import secrets
 from stratalens.llm.sentencepiece_viterbi import encode
 from stratalens.llm.simhash_bktree import near_fingerprints
+from stratalens.llm.spelling_variants import variants, vocabulary
 from stratalens.llm.url_filter import host_of, judge_urls
 from stratalens.llm.weighted_fingerprints import edited_likeness
 
@@ -143,6 +144,13 @@ def op8_cotrain_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents after damage, their near words, forms and roots."""
+    words = vocabulary(table(spark, sf_dir, "documents"), damage=199)
+    return variants(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 @query
 def op12_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and components of those at two or fewer differing bits."""
