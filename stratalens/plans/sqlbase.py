@@ -16,6 +16,13 @@ VARIANT = """CASE WHEN seq % 23 = 5 THEN 'cut' WHEN seq % 29 = 7 THEN 'tagged' W
 
 CTES: dict[str, str] = {
     "ev": """SELECT event_id, epoch_us(ts) AS us, user_id, event_type, value, props FROM events""",
+    # Streams: the flushes that are closed when all events have come, at a lateness bound of 13 hours.
+    "closed": """SELECT ((max(us) // 1000000 - 46800) // 3600) * 3600 AS until FROM ev""",
+    # In which of four micro-batches an event comes, up to 12 hours late, and the first flush open by then, at a bound of one hour.
+    "arrival": """SELECT unnest(seqs) AS seq, since, last FROM (SELECT seqs, lag(until) OVER (ORDER BY part) AS since, max(until) OVER () AS last FROM (
+          SELECT part, list(event_id) AS seqs, ((max(max(us)) OVER (ORDER BY part) // 1000000 - 3600) // 3600) * 3600 AS until FROM (
+            SELECT event_id, us, CAST(least(3, (us + event_id % 5 * 10800000000 - lo) * 4 // (hi - lo + 1)) AS INTEGER) AS part
+            FROM ev, (SELECT min(us) AS lo, max(us) AS hi FROM ev)) GROUP BY part))""",
     "raw0": """SELECT event_id AS seq, us, us * 1000 AS ts_ns, (us // 3600000000) * 3600 AS flush,
         CASE WHEN event_type IN ('click','view','signup') THEN 'request' ELSE 'response' END AS direction,
         CASE WHEN user_id % 5 = 0 THEN 'ipv6' ELSE 'ipv4' END AS family,

@@ -106,17 +106,17 @@ def read_geo_asn(spark: SparkSession, path: str, fmt: str = "csv", networks: boo
     return _read_ranges(spark, path, fmt, GEO_ASN, NETWORK_ASN, networks)
 
 
-def read_score_docs(spark: SparkSession, path: str, streaming: bool = False, files: bool = False) -> DataFrame:
+def read_score_docs(spark: SparkSession, path: str, streaming: bool = False, files: bool = False, **options) -> DataFrame:
     """Landed score documents.
 
     By default one JSON envelope per line, which keeps files large. With
     ``files`` each document is a file of its own below ``ip=/kind=/poll_ts=``
-    folders.
+    folders. Options go to Spark's reader.
     """
     if not files:
-        return _read(spark, path, SCORE_DOCS, "json", streaming)
+        return _read(spark, path, SCORE_DOCS, "json", streaming, **options)
     schema = "value STRING, ip STRING, kind STRING, poll_ts BIGINT"
-    docs = _read(spark, path, schema, "text", streaming, wholetext="true")
+    docs = _read(spark, path, schema, "text", streaming, wholetext="true", **options)
     return docs.select(F.timestamp_seconds("poll_ts").alias("poll_ts"), "ip", "kind", F.col("value").alias("body"))
 
 
