@@ -4,7 +4,8 @@ A range condition alone plans as a nested loop over the table. Every range is th
 prefixes, of the finest of four lengths at which its ends lie in the same or in neighbouring prefixes, and packets are
 joined on the prefix, length by length, with the range test on top. However wide a range is, it makes two rows at
 most, so Spark's estimate of the table's size holds and a narrow range shares its prefix with its neighbours only.
-Ranges of one table must be disjoint, so a packet meets at most one of them and the left joins keep the row count.
+Ranges of one table must be disjoint, so a packet meets at most one of them and the left joins keep the row count; the
+readers cut nested networks into disjoint pieces (``cut_nested``).
 
 No side is hinted: Spark broadcasts a length's ranges while they are under the session's threshold, and beyond that
 sorts and merges on the prefix, where a hot prefix of the packet side is split at run time.
@@ -12,6 +13,7 @@ sorts and merges on the prefix, where a hot prefix of the packet side is split a
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,6 +32,72 @@ def ipv4_ranges(table: DataFrame) -> DataFrame:
     return table.withColumn("lo", as_bytes("lo")).withColumn("hi", as_bytes("hi"))
 
 
+def _innermost(group: pa.Table) -> pa.Table:
+    """Disjoint pieces of the ranges that meet one bucket of addresses, each with the narrowest range there.
+
+    A sweep by first address keeps the open ranges on a stack, the innermost on top.
+    """
+    if not group.num_rows:
+        return group.drop_columns(["_cell"])
+    whole = [(int.from_bytes(a), int.from_bytes(b)) for a, b in zip(group["lo"].to_pylist(), group["hi"].to_pylist(), strict=True)]
+    size = len(group["lo"][0].as_py())
+    below = 8 * (size - CELL_BYTES[size])
+    low = group["_cell"][0].as_py() << below
+    high = low + (1 << below) - 1
+    names = [c for c in group.column_names if c not in ("lo", "hi", "_cell")]
+    pieces: list[tuple[int, int, int]] = []
+    open_: list[int] = []
+    at = low
+
+    def cover(row: int, end: int) -> None:
+        nonlocal at
+        if at <= end:
+            pieces.append((row, at, end))
+            at = end + 1
+
+    for row in sorted(range(len(whole)), key=lambda i: (whole[i][0], -whole[i][1])):
+        first, last = whole[row]
+        while open_ and whole[open_[-1]][1] < first:
+            cover(open_[-1], min(whole[open_[-1]][1], high))
+            open_.pop()
+        if open_ and last > whole[open_[-1]][1]:
+            raise ValueError(f"networks overlap but are not nested: {whole[open_[-1]]} and {whole[row]}")
+        if open_ and whole[open_[-1]] == (first, last):
+            if any(group[c][row] != group[c][open_[-1]] for c in names):
+                raise ValueError(f"one network is listed twice with different values: {whole[row]}")
+            continue
+        if open_:
+            cover(open_[-1], max(first, low) - 1)
+        at = max(at, first)
+        open_.append(row)
+    while open_:
+        cover(open_[-1], min(whole[open_[-1]][1], high))
+        open_.pop()
+    out = group.select(names).take(pa.array([r for r, _, _ in pieces], pa.int64()))
+    for name, values in (("lo", [a for _, a, _ in pieces]), ("hi", [b for _, _, b in pieces])):
+        out = out.append_column(name, pa.array([v.to_bytes(size) for v in values], pa.binary()))
+    return out
+
+
+#: Bytes of an address, of 4 or 16, that name its bucket.
+CELL_BYTES = {4: 1, 16: 2}
+
+
+def cut_nested(ranges: DataFrame) -> DataFrame:
+    """The ranges (BINARY lo and hi, both families) cut into disjoint ones: every address keeps its narrowest range.
+
+    Ranges go to the buckets of their first byte, or two for IPv6, and each bucket is swept by itself. A range listed
+    twice counts once. Ranges that overlap without being nested, or repeat with other values, fail the query.
+    """
+    width = F.when(F.octet_length("lo") == 4, CELL_BYTES[4]).otherwise(CELL_BYTES[16])
+    cell = lambda name: F.conv(F.hex(F.substring(F.col(name), F.lit(1), width)), 16, 10).cast("bigint")
+    split = ranges.withColumn("_cell", F.explode(F.sequence(cell("lo"), cell("hi"))))
+    names = [f.name for f in ranges.schema if f.name not in ("lo", "hi")]
+    schema = ", ".join([*[f"`{n}` {ranges.schema[n].dataType.simpleString()}" for n in names], "lo binary, hi binary"])
+    grouped = split.select(*names, "lo", "hi", "_cell").groupBy(F.octet_length("lo"), "_cell")
+    return grouped.applyInArrow(_innermost, schema).select(ranges.columns)
+
+
 def spread_ranges(ranges: DataFrame) -> DataFrame:
     """One row, or two, per range: its level and bucket."""
     lo, hi = F.col("lo"), F.col("hi")

@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratalens.functions.binary import once
 from stratalens.functions.slices import running_sum
 from stratalens.functions.timegrid import flush_of, grid_index
 from stratalens.operators.decode import decode_packets, filter_frames
+from stratalens.session import written
 
 FLUSH_S = 15
 TOP_N = 25
@@ -137,22 +137,34 @@ def prune_totals(totals: DataFrame, keep: int = TOTALS_MAX) -> DataFrame:
     return top_asn(totals, keep)
 
 
-SEARCH_STEPS = 40  # halvings that find a place in any list of slices
+def _span(value: Column) -> Column:
+    """Which of eight spans in its octave a count of 0 or more lies in; greater counts lie in the same span or a later one."""
+    octave = F.length(F.bin(value)) - 1
+    part = F.call_function("shiftright", value, F.greatest(octave - 3, F.lit(0)))
+    return F.when(value < 8, value).otherwise(octave * 8 + part - 8).cast("int")
 
 
-def _first_above(bars: Column, total: Column) -> Column:
-    """Slice of the first entry of bars (by slice, bar never falling) whose bar is above total; NULL if none is."""
+def _first_above(rows: DataFrame, value: str, bars: DataFrame, out: str) -> DataFrame:
+    """rows with the slice of the first bar above their value (NULL: none); bars (slice, bar) never fall from slice to slice.
 
-    def halve(span: Column, _step: Column) -> Column:
-        middle = F.call_function("div", span["lo"] + span["hi"], F.lit(2)).cast("int")
-        above = F.get(bars, middle)["bar"] > total
-        left = F.struct(span["lo"].alias("lo"), middle.alias("hi"))
-        right = F.struct((middle + 1).alias("lo"), span["hi"].alias("hi"))
-        return F.when(span["lo"] >= span["hi"], span).when(above, left).otherwise(right)
-
-    start = F.struct(F.lit(0).alias("lo"), F.size(bars).alias("hi"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(SEARCH_STEPS)), start, halve)
-    return F.get(bars, found["lo"])["slice"]
+    Rows and bars of one span of values are scanned together, from the greatest value down. A row whose span has no bar
+    above it takes the first bar of a later span, of which there are at most 512.
+    """
+    names = rows.columns
+    kinds = rows.select(*names, F.col(value).alias("_value"), F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_bar_slice"))
+    marks = bars.select(
+        *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in names],
+        F.col("bar").alias("_value"), F.lit(1).alias("_kind"), F.col("slice").alias("_bar_slice"),
+    )
+    down = W.partitionBy("_span").orderBy(F.col("_value").desc(), "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    both = kinds.unionByName(marks).withColumn("_span", _span(F.col("_value")))
+    within = both.withColumn("_here", F.min("_bar_slice").over(down)).where("_kind = 0")
+    later = bars.groupBy(_span(F.col("bar")).alias("_above")).agg(F.min("slice").alias("_first"))
+    spans = later.agg(F.sort_array(F.collect_list(F.struct("_above", "_first"))).alias("_later"))
+    beyond = F.array_min(F.transform(F.filter("_later", lambda x: x["_above"] > F.col("_span")), lambda x: x["_first"]))
+    found = within.select("_span").distinct().join(F.broadcast(spans)).select(F.col("_span").alias("_of"), beyond.alias("_beyond"))
+    joined = within.join(found, F.col("_span") == F.col("_of"), "left")
+    return joined.select(*names, F.coalesce("_here", "_beyond").alias(out))
 
 
 def carried_totals(per_slice: DataFrame, n: int) -> DataFrame:
@@ -168,9 +180,8 @@ def carried_totals(per_slice: DataFrame, n: int) -> DataFrame:
     nth = summed.withColumn("_rn", F.row_number().over(by_end)).where(F.col("_rn") <= n).where(F.col("_rn") == n)
     rising = W.orderBy("slice").rowsBetween(W.unboundedPreceding, W.currentRow)  # one row per slice
     bars = nth.select((F.col("slice") + 1).alias("slice"), F.max("_end").over(rising).alias("bar"))
-    listed = bars.agg(F.sort_array(F.collect_list(F.struct("slice", "bar")))).scalar()
     last_slice = per_slice.agg(F.max("slice")).scalar()
-    bounded = once(summed, _bars=listed).withColumn("_out", _first_above(F.col("_bars"), F.col("_end"))).drop("_bars")
+    bounded = _first_above(summed, "_end", bars, "_out")
     until = F.least(F.coalesce(F.col("_next") - 1, last_slice), F.coalesce(F.col("_out") - 1, last_slice))
     silent = (
         bounded.withColumn("_until", until)
@@ -190,14 +201,16 @@ def top_asn_by_flush(
     with all flushes would grow with their product. Totals never fall, so inside
     a slice of flushes only networks whose total at the slice's end reaches the
     n-th largest total at its start can rank; only those candidates are laid out
-    over the flushes, which is about the size of the result itself.
+    over the flushes, which is about the size of the result itself. The counts
+    are used several times and therefore written to the shared folder first.
     """
     width = every * flushes_per_slice
-    base = (
+    base = written(
         counts.where(F.col("asn").isNotNull())
         .groupBy("flush", "asn")
         .agg(F.sum("requests").alias("requests"))
-        .withColumn("slice", grid_index(F.col("flush"), width))
+        .withColumn("slice", grid_index(F.col("flush"), width)),
+        "network-counts",
     )
     state = carried_totals(base.groupBy("asn", "slice").agg(F.sum("requests").alias("gain")), n)
     by_start = W.partitionBy("slice").orderBy(F.col("start").desc(), F.col("asn").cast("string"))

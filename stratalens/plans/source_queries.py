@@ -99,3 +99,29 @@ def _(t: Inputs):
     packets, _errors = decode.split_parsed(t.frames)
     ours = decode.keep_client_traffic(packets, t.local_ips)
     return traffic.drops(enrich.enrich_country(ours, t.geo_country), FLUSH)
+
+
+@query("joi_2_nested_networks", """
+SELECT seq, CASE WHEN n_nationkey = 7 THEN 'unknown' ELSE coalesce(n_name, 'unknown') END AS country, coalesce(r_name, 'unknown') AS continent
+FROM (SELECT seq, CASE WHEN family = 'ipv6' THEN CASE WHEN host_no < 800 THEN host_no // 32 ELSE 0 END
+    WHEN num // 134217728 < 25 THEN (num // 134217728 + CASE WHEN num % 134217728 BETWEEN 34603008 AND 34865151 THEN 2
+      WHEN num % 134217728 BETWEEN 33554432 AND 50331647 THEN 1 ELSE 0 END) % 25 END AS key FROM pk)
+LEFT JOIN nation ON n_nationkey = key LEFT JOIN region ON r_regionkey = n_regionkey""")
+def _(t: Inputs):
+    """Networks of both families, three deep, as a file lists them; the narrowest one counts."""
+    nation = t.table("nation").join(t.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    named = nation.select(
+        F.col("n_nationkey").cast("bigint").alias("key"), F.when(F.col("n_nationkey") == 7, "").otherwise(F.col("n_name")).alias("country"),
+        F.col("r_name").alias("continent"),
+    )
+
+    def block(slot: int, offset: int, length: int):
+        start = F.pmod(F.col("key") - slot, F.lit(25)) * 134217728 + offset
+        octets = [F.shiftright(start, k).bitwiseAND(F.lit(255).cast("bigint")).cast("string") for k in (24, 16, 8, 0)]
+        return F.concat(F.concat_ws(".", *octets), F.lit(f"/{length}"))
+
+    inner6 = F.concat(F.lit("2001:db8::"), F.lower(F.hex(F.col("key") * 32)), F.lit("/123"))
+    listed = F.array(block(0, 0, 5), block(1, 33554432, 8), block(2, 34603008, 14), inner6, F.when(F.col("key") == 0, "2001:db8::/64"))
+    blocks = named.select(F.explode(F.array_compact(listed)).alias("network"), "country", "continent")
+    networks = readers.read_geo_country(t.spark, written(t, blocks, "networks", "csv"), networks=True)
+    return enrich.enrich_country(t.packets, networks).select("seq", "country", "continent")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stratalens.functions.binary import ip_bin
 from stratalens.functions.slices import carry_last
-from stratalens.operators.enrich import ipv4_ranges
+from stratalens.operators.enrich import cut_nested, ipv4_ranges
 from stratalens.operators.samples import with_host
 from stratalens.session import pin_utc
 
@@ -91,9 +91,10 @@ def _network_bounds(table: DataFrame) -> DataFrame:
 
 
 def _read_ranges(spark, path, fmt, numeric, network, networks) -> DataFrame:
+    """Numeric ranges are taken as disjoint; networks may be nested, and an address belongs to its narrowest."""
     options = {"header": "true"} if fmt == "csv" else {}
     if networks:
-        return _network_bounds(_read(spark, path, network, fmt, **options))
+        return cut_nested(_network_bounds(_read(spark, path, network, fmt, **options)))
     return ipv4_ranges(_read(spark, path, numeric, fmt, **options))
 
 

@@ -263,3 +263,29 @@ def test_silent_networks_are_carried_while_they_may_rank(spark):
     assert all(r["count"] <= 1000 for r in silent if r.slice == 1) and not [r for r in silent if r.slice > 2]
     start = {(r.asn, r.slice): r.start for r in carried.where("gain > 0").collect()}
     assert start[5000, 3] == 20_000 and start[7, 0] == 0
+
+
+def test_nested_networks(spark):
+    """The narrowest network of an address counts; a packet comes back once; other overlaps fail."""
+    from stratalens.functions.binary import ip_bin
+    from stratalens.operators.enrich import cut_nested, enrich_country
+    from stratalens.sources.readers import _network_bounds
+
+    def ranges(*rows):
+        return cut_nested(_network_bounds(spark.createDataFrame(rows, "network string, country string, continent string")))
+
+    table = ranges(
+        ("10.1.1.0/25", "DE", "EU"), ("10.1.1.0/26", "FR", "EU"), ("10.0.0.0/8", "US", "NA"), ("10.1.1.0/26", "FR", "EU"), ("0.0.0.0/0", "ZZ", ""),
+        ("2001:db8::/32", "JP", "AS"), ("2001:db8:1::/48", "IN", "AS"),
+    )
+    want = {"10.1.1.5": "FR", "10.1.1.64": "DE", "10.1.1.127": "DE", "10.1.1.128": "US", "11.0.0.1": "ZZ", "255.255.255.255": "ZZ",
+            "2001:db8:1::9": "IN", "2001:db8:2::9": "JP", "2001:db9::1": "unknown"}
+    packets = spark.createDataFrame([(a,) for a in want], "client_ip string").withColumn("client_bin", ip_bin(F.col("client_ip")))
+    found = enrich_country(packets, table).collect()
+    assert len(found) == len(want) and {r.client_ip: r.country for r in found} == want
+    pieces = sorted((bytes(r.lo), bytes(r.hi)) for r in table.collect() if len(r.lo) == 4)
+    assert all(a[1] < b[0] for a, b in zip(pieces, pieces[1:]))
+    one = spark.createDataFrame([(b"\x0a\x00\x00\x00", b"\x0a\x00\x00\x0f", "A"), (b"\x0a\x00\x00\x08", b"\x0a\x00\x00\x1f", "B")], "lo binary, hi binary, country string")
+    for wrong in (lambda: cut_nested(one).collect(), lambda: ranges(("10.0.0.0/8", "A", ""), ("10.0.0.0/8", "B", "")).collect()):
+        with pytest.raises(Exception, match="not nested|listed twice"):
+            wrong()
