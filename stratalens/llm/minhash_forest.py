@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from stratalens.llm.linking import components
+from stratalens.llm.linking import components, repeated_ids
 from stratalens.llm.shared import discard, stored
 from stratalens.llm.wordhash import chunks, distinct, mix, shingles, words
 
@@ -48,6 +48,11 @@ class Forest:
         return s - 4.5 * math.sqrt(s * (1 - s) / (self.trees * PER_TREE))
 
 
+def _identity(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit hash of each set, as two sums over its members."""
+    return np.add.reduceat(mix(flat), starts), np.add.reduceat(mix(flat ^ np.uint64(0x5851F42D4C957F2D)), starts)
+
+
 def _profiler(forest: Forest) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Set size, a 128-bit hash of the set, and the signature of each text."""
     count = forest.trees * PER_TREE
@@ -65,8 +70,7 @@ def _profiler(forest: Forest) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 if some := np.flatnonzero(sizes).tolist():
                     flat = np.concatenate([sets[i] for i in some])
                     starts = np.concatenate([[0], np.cumsum(sizes[some])[:-1]])
-                    first[some] = np.add.reduceat(mix(flat), starts)
-                    second[some] = np.add.reduceat(mix(flat ^ np.uint64(0x5851F42D4C957F2D)), starts)
+                    first[some], second[some] = _identity(flat, starts)
                     low = (flat & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                     high = (flat >> np.uint64(32)).astype(np.uint32)
                     for j in range(count):
@@ -81,27 +85,35 @@ def _profiler(forest: Forest) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                 yield pa.RecordBatch.from_arrays(
                     [
                         chunk.column(0),
+                        chunk.column(2),
                         pa.array(sizes),
                         pa.array(first.view(np.int64)),
                         pa.array(second.view(np.int64)),
                         pa.array([raw[i * width : (i + 1) * width] for i in range(len(sets))], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "h1", "h2", "signature"],
+                    names=["doc_id", "mark", "n_shingles", "h1", "h2", "signature"],
                 )
 
     return profile
 
 
 def _set_maker(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The shingle set of each text that has one, with its hash and size."""
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch):
                 hashes, _, _, bounds = words(chunk.column(1))
-                sets = distinct(*shingles(hashes, bounds, k))
-                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+                sets = [s for s in distinct(*shingles(hashes, bounds, k)) if len(s)]
+                if not sets:
+                    continue
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+                flat = np.concatenate(sets)
+                first, second = _identity(flat, offsets[:-1])
+                lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [chunk.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "set"]
+                    [pa.array(first.view(np.int64)), pa.array(second.view(np.int64)), pa.array(np.diff(offsets)), lists],
+                    names=["h1", "h2", "n_shingles", "set"],
                 )
 
     return make
@@ -224,47 +236,36 @@ def _labelled(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _docs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+
+
+NODE = ["h1", "h2", "n_shingles"]  # what names a set; their hash is the set's id
 
 
-def _sets(docs: DataFrame, ids: DataFrame, forest: Forest) -> DataFrame:
-    """Full shingle sets of the texts with these ids, each once (an id with several texts has several).
+def _sets(texts: DataFrame, ids: DataFrame, classes: DataFrame, forest: Forest) -> DataFrame:
+    """The shingle sets with these ids, each once, made from the text of the smallest doc_id that has the set.
 
     Up to BROADCAST_IDS ids go to the texts; more are joined by a shuffle of both.
     """
-    ids = stored(ids, "ids")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    wanted = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    return stored(wanted.mapInArrow(_set_maker(forest.words), "id long, set array<long>").distinct(), "sets")
+    ids = stored(ids.join(classes.select("id", "doc"), "id"), "ids")
+    some = F.broadcast if ids.count() <= BROADCAST_IDS else lambda df: df
+    wanted = texts.join(some(ids.select(F.col("doc").alias("doc_id")).distinct()), "doc_id", "left_semi").select("doc_id", "text")
+    made = wanted.mapInArrow(_set_maker(forest.words), "h1 long, h2 long, n_shingles long, set array<long>")
+    made = made.select(F.xxhash64(*NODE).alias("id"), "set")
+    return stored(made.join(some(ids.select("id")), "id", "left_semi").distinct(), "sets")
 
 
-def near_duplicates(
-    docs: DataFrame, forest: Forest = Forest(), id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each document.
-
-    Words are runs of bytes other than white space, A-Z lower-cased; a text's set is its distinct shingles of
-    ``forest.words`` words, its whole sequence if it has fewer, nothing for null or wordless texts, which link to
-    nothing. Documents link where 100 * intersection >= percent * union. component_id is the smallest doc_id reachable
-    and kept says that it is the document's own. Texts with equal sets are one class first, so copies never meet in
-    pairs. Each tree of the forest sorts the classes by its own eight minimum hashes; a class's candidates are its
-    neighbours in an order that share a prefix, the longest first, wherever the order is dense. Signatures weed out
-    candidates, each class's likeliest one is confirmed on the full sets, then every candidate that still joins two
-    components. Where a prefix is shared by more classes than an order's neighbourhood holds and several components,
-    `_among` looks for the rest exactly. Rows with a null doc_id come back with a null component and kept true;
-    rows that repeat a doc_id come back as often, and a link of any of their texts is a link of the id. An empty table gives no rows.
-    """
-    texts = _docs(docs, id_col, text_col)
+def _linked_sets(texts: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(profile, classes, labels): every row's set; the distinct sets with the smallest doc_id that has each; components of linked sets by set id."""
     profile = stored(
         texts.mapInArrow(
-            _profiler(forest), "doc_id long, n_shingles long, h1 long, h2 long, signature binary"
-        ),
+            _profiler(forest), "doc_id long, mark long, n_shingles long, h1 long, h2 long, signature binary"
+        ).withColumn("node", F.xxhash64(*NODE)).drop("h1", "h2"),
         "profile",
     )
     usable = profile.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stored(
-        usable.groupBy("h1", "h2", "n_shingles", "signature").agg(F.min("doc_id").alias("id")), "classes"
-    )
+    classes = stored(usable.groupBy(F.col("node").alias("id"), "signature").agg(F.min("doc_id").alias("doc")), "classes")
     orders = classes.select(
         "id", F.posexplode(F.array(*[F.substring("signature", 2 * PER_TREE * t + 1, 2 * PER_TREE) for t in range(forest.trees)]))
         .alias("tree", "key"),
@@ -291,7 +292,7 @@ def near_duplicates(
     crowd = stored(
         found.where(F.col("kind") == CROWDED).select("tree", "prefix", F.col("a").alias("id")).distinct(), "crowd"
     )
-    sets = _sets(texts, likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), forest)
+    sets = _sets(texts, likely.select(F.explode(F.array("a", "b")).alias("id")).distinct(), classes, forest)
     ends = likely.select("est", F.col("a").alias("x"), F.col("b").alias("y")).union(likely.select("est", "b", "a"))
     best = ends.groupBy("x").agg(F.max(F.struct("est", F.col("y"))).alias("m"))
     best = best.select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct()
@@ -304,31 +305,72 @@ def near_duplicates(
     crowded = stored(_crowded(crowd, labels_ab), "crowded")
     final = labels_ab
     if not crowded.isEmpty():
-        rest = stored(_among(crowded, texts, forest), "links_c")
+        rest = stored(_among(crowded, texts, classes, forest), "links_c")
         final = stored(components(rest.union(labels_ab.select(F.col("id").alias("a"), F.col("component").alias("b")))), "labels_c")
     discard(crowd)
-    owners = classes.select("h1", "h2", "n_shingles", F.col("id").alias("owner"))
-    owners = owners.join(final, owners["owner"] == final["id"], "left")
-    owners = owners.select("h1", "h2", "n_shingles", F.coalesce("component", "owner").alias("of"))
-    out = profile.select("doc_id", "n_shingles", "h1", "h2").join(owners, ["h1", "h2", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("of", "doc_id"))
+    return profile, classes, final
+
+
+def near_duplicates(
+    docs: DataFrame, forest: Forest = Forest(), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each document.
+
+    Words are runs of bytes other than white space, A-Z lower-cased; a text's set is its distinct shingles of
+    ``forest.words`` words, its whole sequence if it has fewer, nothing for null or wordless texts, which link to
+    nothing. Documents link where 100 * intersection >= percent * union. component_id is the smallest doc_id reachable
+    and kept says that it is the document's own. Texts with equal sets are one class first, so copies never meet in
+    pairs. Each tree of the forest sorts the classes by its own eight minimum hashes; a class's candidates are its
+    neighbours in an order that share a prefix of `forest.shortest` hashes. Signatures weed out
+    candidates, each class's likeliest one is confirmed on the full sets, then every candidate that still joins two
+    components. Where a prefix is shared by more classes than an order's neighbourhood holds and several components,
+    `_among` looks for the rest exactly. Rows with a null doc_id come back with a null component and kept true;
+    rows that repeat a doc_id come back as often, and a link of any of their texts is a link of the id (a wordless row
+    of such an id stands alone). An empty table gives no rows.
+    """
+    profile, classes, labels = _linked_sets(_docs(docs, id_col, text_col), forest)
+    known = profile.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "node")
+    several = stored(known.join(repeated_ids(known, F.col("node")), "doc_id", "left_semi").distinct(), "several")
+    if not several.isEmpty():
+        hubs = several.groupBy("doc_id").agg(F.min("node").alias("b"))
+        same = several.join(hubs, "doc_id").select(F.col("node").alias("a"), "b")
+        labels = components(same.union(labels.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+    of = _owners(classes, labels)
+    least = of.groupBy("of").agg(F.min("doc").alias("least"))
+    owners = of.join(least, "of").select(F.col("id").alias("node"), "least")
+    out = profile.select("doc_id", "n_shingles", "node").join(owners, "node", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
 
 
+def _owners(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(id, doc, of): the component of each set."""
+    named = labels.select(F.col("id").alias("labelled"), "component")
+    joined = classes.join(named, classes["id"] == named["labelled"], "left")
+    return joined.select("id", "doc", F.coalesce("component", "id").alias("of"))
+
+
 def drop_near_duplicates(docs: DataFrame, forest: Forest = Forest(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that ``near_duplicates`` keeps; of rows that repeat a doc_id one stays.
+    """One row of each component of linked texts, all columns: one with the smallest doc_id.
 
-    Rows with a null doc_id all stay.
+    Here the rows of a repeated doc_id are texts of their own: each stays unless a text linked to it stays, so no text goes without a
+    copy. Of equal rows one stays, likewise of the wordless rows of one doc_id. Rows with a null doc_id all stay.
     """
     names = docs.columns
     own = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    id_name = f"c{names.index(id_col)}"
-    found = near_duplicates(docs, forest, id_col, text_col)
-    kept = stored(found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    once = own.join(kept, own[id_name].cast("long") == kept["kept_id"], "left_semi").dropDuplicates([id_name])
+    id_name, text_name = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    profile, classes, labels = _linked_sets(_docs(docs, id_col, text_col), forest)
+    chosen = _owners(classes, labels).groupBy("of").agg(F.min(F.struct("doc", "id")).alias("m"))
+    chosen = chosen.select(F.col("m.doc").alias("doc_id"), F.col("m.id").alias("node"))
+    bare = profile.where("n_shingles = 0 AND doc_id IS NOT NULL").select("doc_id", "node").distinct()
+    rows = profile.join(chosen.union(bare), ["doc_id", "node"]).groupBy("doc_id", "node").agg(F.min("mark").alias("kept_mark"))
+    kept = stored(rows.select(F.col("doc_id").alias("kept_id"), "kept_mark"), "kept")
+    marked = own.withColumn("mark", F.xxhash64(text_name))
+    same = (F.col(id_name).cast("long") == F.col("kept_id")) & (F.col("mark") == F.col("kept_mark"))
+    once = marked.join(kept, same, "left_semi").dropDuplicates([id_name, "mark"]).drop("mark")
     return once.union(own.where(F.col(id_name).isNull())).toDF(*names)
 
 
@@ -339,7 +381,7 @@ def _crowded(crowd: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed.select("tree", "prefix"), ["tree", "prefix"], "left_semi")
 
 
-def _among(crowded: DataFrame, texts: DataFrame, forest: Forest) -> DataFrame:
+def _among(crowded: DataFrame, texts: DataFrame, classes: DataFrame, forest: Forest) -> DataFrame:
     """Links between different components that share a crowded region: exact, and without rows for pairs.
 
     Regions that share rows are one group. A group's rows go to blocks of about BLOCK sets, a large component's in blocks of
@@ -368,7 +410,7 @@ def _among(crowded: DataFrame, texts: DataFrame, forest: Forest) -> DataFrame:
     left = placed.join(meet, (placed["g"] == meet["g"]) & (placed["block"] == meet["x"])).select("id", "c", placed["g"], "x", "y", F.lit(0).alias("side"))
     right = placed.join(meet.where("x <> y"), (placed["g"] == meet["g"]) & (placed["block"] == meet["y"]))
     right = right.select("id", "c", placed["g"], "x", "y", F.lit(1).alias("side"))
-    sets = _sets(texts, members.select("id").distinct(), forest)
+    sets = _sets(texts, members.select("id").distinct(), classes, forest)
     rows = left.union(right).join(sets, "id").select("g", "x", "y", "side", "id", "c", "set")
     return rows.groupBy("g", "x", "y").applyInArrow(_matcher(forest.percent), "a long, b long")
 

@@ -86,3 +86,14 @@ def test_both_ways_to_components_agree(spark):
     small, large = components(frame), components(frame, one_task=0)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))
     assert components(spark.createDataFrame([], "a long, b long"), one_task=0).collect() == []
+
+
+def test_one_id_with_several_texts(spark):
+    """A link of one text is a link of the id; what is dropped leaves a copy of every text."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(30)) for c in "xyz")
+    rows = [(3, one), (5, one), (5, two), (9, two), (9, three), (9, two), (4, three + " end"), (7, ""), (7, " "), (5, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = near_duplicates(frame).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found if r.n_shingles) == [(3, 3), (4, 3), (5, 3), (5, 3), (9, 3), (9, 3), (9, 3)]
+    kept = sorted((r.doc_id, r.text.strip()) for r in drop_near_duplicates(frame).collect())
+    assert kept == sorted([(3, one), (5, two), (4, three + " end"), (5, ""), (7, "")])
