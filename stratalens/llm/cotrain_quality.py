@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from stratalens.llm.shared import received, sent
 from stratalens.llm.wordhash import chunks, text_buffers, words
 
 _KIND = np.full(256, 7, np.int64)  # other signs
@@ -191,7 +192,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rules: CoTraining = CoTraining()) -> Classifier | None:
-    """A classifier from bounded samples: labelled documents (label: mean quality of at least one half) and others."""
+    """A classifier from bounded samples: labelled documents (label: mean quality of at least one half) and others.
+
+    An id with several rows gives one of them to the sample.
+    """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id")
     known = known.agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     spread = F.xxhash64(F.lit(41), "doc_id")
@@ -202,7 +206,10 @@ def fit(docs: DataFrame, labels: DataFrame, rules: CoTraining = CoTraining()) ->
     rows = docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
     rows = rows.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "lang", "source", "n_chars", "y")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    made = rows.mapInArrow(_extract, f"doc_id {kind}, y double, text_view binary, meta_view binary").collect()
+    made = rows.mapInArrow(_extract, f"doc_id {kind}, y double, text_view binary, meta_view binary")
+    views = ["text_view", "meta_view"]
+    one = F.min_by(F.struct("y", *views), F.struct(F.xxhash64(*views), *views)).alias("row")  # of each id, whichever order rows come in
+    made = made.groupBy("doc_id").agg(one).select("doc_id", "row.*").collect()
     made.sort(key=lambda r: (zlib.crc32(str(r.doc_id).encode()), str(r.doc_id), bytes(r.text_view), bytes(r.meta_view)))
     take = lambda rows, name, size: np.frombuffer(b"".join(bytes(getattr(r, name)) for r in rows), np.float32).reshape(len(rows), size)
     labelled, pool = [r for r in made if r.y is not None], [r for r in made if r.y is None]
@@ -219,7 +226,7 @@ def _scorer(shared, places: tuple[int, list[int]], text_col: str) -> Callable[[I
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch, text_col):
-                found = shared.value.scores(*_views(chunk, *places))
+                found = received(shared).scores(*_views(chunk, *places))
                 names = [*chunk.schema.names, *(f"_{s}" for s in SCORES)]
                 yield pa.RecordBatch.from_arrays([*chunk.columns, *(pa.array(s.astype(np.float64)) for s in found)], names=names)
 
@@ -229,7 +236,7 @@ def _scorer(shared, places: tuple[int, list[int]], text_col: str) -> Callable[[I
 def _scored(own: DataFrame, model: Classifier | None, at: dict[str, int]) -> DataFrame:
     if model is None:
         return own.withColumns({f"_{s}": F.lit(1.0) for s in SCORES})
-    shared = own.sparkSession.sparkContext.broadcast(model)
+    shared = sent(own.sparkSession, model)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema)
     places = (at["text"], [at["lang"], at["source"], at["n_chars"]])
     return own.mapInArrow(_scorer(shared, places, f"c{at['text']}"), schema + "".join(f", _{s} double" for s in SCORES))

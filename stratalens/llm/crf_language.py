@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from stratalens.llm.shared import received, sent
 from stratalens.llm.wordhash import chunks, runs, text_buffers
 
 _FOLD = np.full(256, 0x20, np.uint8)
@@ -22,13 +23,14 @@ _MUL = [np.uint32(x) for x in (0x01000193, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)]
 
 @dataclass(frozen=True)
 class Training:
-    """per_language: documents that a language's sample holds at most, the first by a hash of doc_id. sequences:
-    code-switched sequences of `length` words made of spans of 3 to 12 words from these documents. A word is a run of
+    """per_language: documents that a language's sample holds at most, the first by a hash of doc_id. most: the same for all
+    languages together. sequences: code-switched sequences of `length` words made of spans of 3 to 12 words from these documents. A word is a run of
     letters (``l'eau`` is two), as where texts are labelled; runs without a letter are left out. rounds: gradient steps.
     ridge: weight of the squared norm.
     """
 
     per_language: int = 150
+    most: int = 15_000
     sequences: int = 2500
     length: int = 24
     rounds: int = 40
@@ -238,7 +240,7 @@ _ASCII_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 def _labeller(shared, spans: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field: Field = shared.value
+        field: Field = received(shared)
         for batch in batches:
             for chunk in chunks(batch):
                 texts = chunk.column(1)
@@ -282,12 +284,21 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit(docs: DataFrame, training: Training = Training()) -> Field | None:
-    """A field from the labelled documents of the training fold: at most ``per_language`` of each language, whole texts."""
-    fold = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = fold.withColumn("n", F.row_number().over(order)).where(F.col("n") <= training.per_language).select("doc_id", "lang")
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text", "doc_id")
-    return train([(r.lang, r.text) for r in sorted(rows.collect(), key=lambda r: (r.lang, r.doc_id, r.text))], training)
+    """A field from the labelled documents of the training fold, whole texts: at most ``per_language`` of each language and
+    ``most`` in all, the same number of each then.
+
+    An id with several rows gives one of them, with its own language: the one with the least hash of its text.
+    """
+    sign = F.xxhash64("text")
+    fold = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    ids = fold.groupBy("doc_id").agg(F.min(F.struct(sign.alias("sign"), "lang")).alias("row")).select("doc_id", "row.*")
+    spread = F.xxhash64("doc_id")
+    order = Window.partitionBy("lang").orderBy(spread, "doc_id")
+    chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= training.per_language)
+    chosen = chosen.orderBy("n", spread, "doc_id").limit(training.most).select("doc_id", "lang", "sign")
+    rows = fold.select("doc_id", "lang", "text", sign.alias("sign")).join(F.broadcast(chosen), ["doc_id", "lang", "sign"])
+    samples = rows.groupBy("doc_id", "lang", "sign").agg(F.min("text").alias("text")).collect()
+    return train([(r.lang, r.text) for r in sorted(samples, key=lambda r: (r.lang, r.doc_id, r.text))], training)
 
 
 def identify(docs: DataFrame, field: Field | None, spans: bool = False) -> DataFrame:
@@ -301,7 +312,7 @@ def identify(docs: DataFrame, field: Field | None, spans: bool = False) -> DataF
         out = rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
         kind = "array<struct<first_word: int, end_word: int, lang: string>>"
         return out.withColumn("spans", F.array().cast(kind)) if spans else out
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared = sent(docs.sparkSession, field)
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double"
     schema += ", spans array<struct<first_word: int, end_word: int, lang: string>>" if spans else ""
     return rows.mapInArrow(_labeller(shared, spans), schema)

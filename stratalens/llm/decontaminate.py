@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from stratalens.llm.shared import fresh
+from stratalens.llm.shared import fresh, received, sent
 from stratalens.llm.wordhash import chunks, words
 
 #: Each mask has eight ones. Every pattern of at most 20 % substitutions over 13 or more tokens leaves room for one of
@@ -169,9 +169,9 @@ def _holds_overlap(equal: np.ndarray, sizes: np.ndarray, need: np.ndarray, perce
 def _scanner(block, overlap: Overlap, column: str, text: str) -> Callable:
     def diagonals(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Distinct (text, item, token of the texts that faces the item's first) of all equal hashes."""
-        starts = block.value.starts
+        starts = received(block).starts
         found = [np.zeros((0, 3), np.int64)]
-        for mask, shift, bitmap, hashes, place in block.value.seeds:
+        for mask, shift, bitmap, hashes, place in received(block).seeds:
             seeds = _seeds(tokens, mask, overlap.factors)
             at = np.flatnonzero(bitmap[(seeds >> shift).astype(np.int64)])
             low, high = np.searchsorted(hashes, seeds[at], "left"), np.searchsorted(hashes, seeds[at], "right")
@@ -187,7 +187,7 @@ def _scanner(block, overlap: Overlap, column: str, text: str) -> Callable:
 
     def matches(tokens: np.ndarray, bounds: np.ndarray) -> list[list[dict]]:
         out: list[list[dict]] = [[] for _ in range(len(bounds) - 1)]
-        ids, wanted, starts = block.value.ids, block.value.tokens, block.value.starts
+        ids, wanted, starts = received(block).ids, received(block).tokens, received(block).starts
         doc, item, diagonal = diagonals(tokens, bounds).T
         length = starts[item + 1] - starts[item]
         start, stop = np.maximum(diagonal, bounds[doc]), np.minimum(diagonal + length, bounds[doc + 1])
@@ -245,7 +245,7 @@ def with_overlaps(
     def flush() -> None:
         nonlocal out
         if blocks[-1]:
-            block = spark.sparkContext.broadcast(_block(blocks[-1], overlap))
+            block = sent(spark, _block(blocks[-1], overlap))
             names.append(fresh(out, column))
             schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema] + [f"`{names[-1]}` {MATCHES}"])
             out = out.mapInArrow(_scanner(block, overlap, names[-1], text_col), schema)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -46,6 +47,19 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sent(spark: SparkSession, thing: object) -> Broadcast:
+    """A broadcast of an object of this package's classes: they go along by value, as executors have no copy of the package."""
+    return spark.sparkContext.broadcast([cloudpickle.dumps(thing)])
+
+
+def received(shared: Broadcast) -> object:
+    """The object that ``sent`` broadcast, loaded once in each worker."""
+    box = shared.value
+    if isinstance(box[0], bytes):
+        box[0] = cloudpickle.loads(box[0])
+    return box[0]
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, with underscores added until df has no such column."""
     taken = {c.lower() for c in df.columns}

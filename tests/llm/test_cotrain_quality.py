@@ -42,3 +42,16 @@ def test_odd_rows(spark, odd, empty):
     kept = filter_quality(train.withColumn("score", F.lit(0)), labels)
     assert kept.columns == [*train.columns, "score"] and {r.doc_id % 2 for r in kept.collect()} == {1} and kept.count() == 30
     assert filter_quality(empty, none).collect() == []
+
+
+def test_sample_holds_one_row_of_a_repeated_id(spark, monkeypatch):
+    from stratalens.llm import cotrain_quality
+
+    rows = [(i % 20 if i < 300 else 7, f"text {i % 90}", "en", "s", i % 11) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(cotrain_quality, "co_train", lambda views, y, pool, rules: seen.append((len(y), len(pool[0]), views[0].tobytes())))
+    cotrain_quality.fit(docs, labels)
+    cotrain_quality.fit(docs.repartition(5, "n_chars"), labels)
+    assert seen[0] == seen[1] and seen[0][:2] == (12, 8)

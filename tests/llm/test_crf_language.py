@@ -84,3 +84,21 @@ def test_apostrophe_language_is_learned(spark):
     field = train([("fr", french), ("en", english)] * 5, Training(sequences=300))
     frame = spark.createDataFrame([(1, "qu'il n'a d'eau"), (2, "the house was his")], "doc_id long, text string")
     assert {r.doc_id: r.lang_pred for r in identify(frame, field).collect()} == {1: "fr", 2: "en"}
+
+
+def test_sample_holds_one_row_of_a_repeated_id(spark, monkeypatch):
+    """A hot id neither fills a language's sample nor lends its language to its other rows; the bound holds over all languages."""
+    from stratalens.llm import crf_language
+
+    hot = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5)
+    rows = [(hot, f"hot text {i % 7}", "en") for i in range(400)] + [(hot, "no language", None)]
+    rows += [(i, f"word {i}", ("en", "fr", "de")[i % 3]) for i in range(100, 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    seen = []
+    monkeypatch.setattr(crf_language, "train", lambda samples, training: seen.append(samples))
+    crf_language.fit(docs)
+    crf_language.fit(docs, Training(per_language=20, most=30))
+    every, few = seen
+    assert sum("hot" in text for _, text in every) == 1 and not any(text == "no language" for _, text in every)
+    assert len(every) == 1 + sum(zlib.crc32(str(i).encode()) % 5 != 0 for i in range(100, 400))
+    assert sorted(lang for lang, _ in few) == ["de"] * 10 + ["en"] * 10 + ["fr"] * 10
