@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from stratalens.llm.shared import received, sent
 from stratalens.llm.wordhash import chunks
 
 MARK = "▁"
@@ -20,6 +21,7 @@ LITERAL = "\n" + MARK  # stands for the mark's own character in a text
 SLICE_BYTES = 6 << 20  # of text whose distinct words make one trie
 KEPT_WORDS = 120_000  # words whose ids a worker remembers
 KEPT_PAIRS = 300_000  # likewise pairs of pieces
+KEPT_STEPS = 300_000  # likewise steps of the automaton
 
 
 @dataclass
@@ -28,6 +30,10 @@ class Pieces:
 
     merges: the scores rank merges (a BPE model), so that a text's pieces are those of its merges; else they are
     log-probabilities and the pieces have the greatest sum.
+
+    An automaton finds the pieces that end at a position. Its states are the beginnings of pieces: the state of a prefix
+    is the longest of them that the prefix ends with. Pieces are numbered in the order of scores; the number after the
+    last one stands for no piece.
     """
 
     scores: dict[str, float]
@@ -36,17 +42,57 @@ class Pieces:
     raw: list[bytes]
     merges: bool
     floor: float = 0.0
-    prefixes: dict[str, bool] = field(default_factory=dict)  # of pieces; True for whole pieces
-    edges: dict[str, tuple[list, list]] = field(default_factory=dict)  # of the pieces met in this worker
-    pairs: dict[tuple[str, str], bool] = field(default_factory=dict)  # met before in this worker
+    names: list[str] = field(default_factory=list)  # by number, an empty one for no piece
+    steps: list[dict[str, int]] = field(default_factory=list)  # of a state: character to state
+    fails: list[int] = field(default_factory=list)  # of a state: the longest other state that it ends with
+    ends: list[tuple] = field(default_factory=list)  # of a state: length and number of the pieces it ends with, longest first
+    added: int = 0  # steps along fails that were remembered
+    edges: dict[int, tuple[list, list]] = field(default_factory=dict)  # of the pieces met in this worker
+    pairs: dict[int, bool] = field(default_factory=dict)  # met before in this worker
     words: dict[str, list[int]] = field(default_factory=dict)  # encoded before in this worker
 
     def __post_init__(self) -> None:
         self.floor = min(self.scores.values(), default=0.0) - 10.0
-        for piece in self.scores:
-            for i in range(1, len(piece)):
-                self.prefixes.setdefault(piece[:i], False)
-            self.prefixes[piece] = True
+        self.names = [*self.scores, ""]
+
+    def prepare(self) -> None:
+        """Build the automaton, where it is used."""
+        if self.steps:
+            return
+        steps, own = [{}], [len(self.scores)]
+        for number, piece in enumerate(self.scores):
+            state = 0
+            for c in piece:
+                if c not in steps[state]:
+                    steps[state][c] = len(steps)
+                    steps.append({})
+                    own.append(len(self.scores))
+                state = steps[state][c]
+            own[state] = number
+        self.fails, self.ends = [0] * len(steps), [()] * len(steps)
+        queue = list(steps[0].values())
+        for state in queue:
+            shorter = self.ends[self.fails[state]]
+            piece = self.names[own[state]]
+            self.ends[state] = ((len(piece), own[state]), *shorter) if piece else shorter
+            for c, longer in steps[state].items():
+                other = self.fails[state]
+                while other and c not in steps[other]:
+                    other = self.fails[other]
+                self.fails[longer] = steps[other].get(c, 0)
+                queue.append(longer)
+        self.steps = steps
+
+    def step(self, state: int, c: str) -> int:
+        """The state after one more character."""
+        at = state
+        while at and c not in self.steps[at]:
+            at = self.fails[at]
+        found = self.steps[at].get(c, 0)
+        if self.added < KEPT_STEPS:
+            self.steps[state][c] = found
+            self.added += 1
+        return found
 
 
 def load_pieces(model_file: str) -> Pieces:
@@ -84,12 +130,12 @@ def merged(symbols: Iterable[str], scores: dict[str, float]) -> list[str]:
     return symbols
 
 
-def _edges(piece: str, pieces: Pieces) -> tuple[list[tuple[str, float]], list[tuple[str, float]]]:
+def _edges(number: int, pieces: Pieces) -> tuple[list[tuple[str, float]], list[tuple[str, float]]]:
     """The symbols that stand first, and those that stand last, while the piece's characters are merged, each with the
     score of the merge that ends it (minus infinity for what is left in the end)."""
-    known = pieces.edges.get(piece)
+    known = pieces.edges.get(number)
     if known is None:
-        symbols, scores = list(piece), pieces.scores
+        symbols, scores = list(pieces.names[number]), pieces.scores
         firsts: list[tuple[str, float]] = []
         lasts: list[tuple[str, float]] = []
         while len(symbols) > 1:
@@ -104,21 +150,22 @@ def _edges(piece: str, pieces: Pieces) -> tuple[list[tuple[str, float]], list[tu
             symbols[-at : 2 - at] = [symbols[-at] + symbols[1 - at]]
         firsts.append((symbols[0], -inf))
         lasts.append((symbols[-1], -inf))
-        known = pieces.edges[piece] = (firsts, lasts) if len(symbols) == 1 else ([], [])
+        known = pieces.edges[number] = (firsts, lasts) if len(symbols) == 1 else ([], [])
     return known
 
 
-def _follows(left: str, right: str, pieces: Pieces) -> bool:
-    """Whether merging the characters of both pieces gives just these two (or, with no left one, just the right one).
+def _follows(pair: int, pieces: Pieces) -> bool:
+    """Whether merging the characters of both pieces of a pair gives just these two (or, with no left one, just the right one).
 
     Merges come in the order of their scores, so only the symbols on both sides of the border matter: the two stay
     apart unless the merge across it beats, at some point, the merges that end either neighbour.
     """
     if len(pieces.pairs) > KEPT_PAIRS:
         pieces.pairs.clear()
+    left, right = divmod(pair, len(pieces.names))
     starts = _edges(right, pieces)[0]
     fits = bool(starts)
-    if left and fits:
+    if pieces.names[left] and fits:
         ends, scores, i, j = _edges(left, pieces)[1], pieces.scores, 0, 0
         fits = bool(ends)
         while fits:
@@ -132,7 +179,7 @@ def _follows(left: str, right: str, pieces: Pieces) -> bool:
                 i += 1
             else:
                 j += 1
-    pieces.pairs[left, right] = fits
+    pieces.pairs[pair] = fits
     return fits
 
 
@@ -140,56 +187,59 @@ def encode_words(words: Iterable[str], pieces: Pieces) -> dict[str, list[int]]:
     """Ids of distinct words. The sorted words are a trie, walked depth-first: a word's forward states begin after its common
     prefix with the word before.
 
-    A state holds where the last piece of the best segmentation of its prefix begins, that segmentation's score, and
-    where pieces may begin that go on beyond it.
+    The forward state of a prefix is the last piece of its best segmentation, that segmentation's score (in a unigram model)
+    and the state of the automaton that tells which pieces end here: two numbers, or three, a code point of the longest word.
     In a BPE model exactly one last piece is admissible, the one that stays apart from the piece before it when their
     characters are merged (a text's merges restrict to those of each two neighbouring pieces), so the path is
     the merges' own result. A character outside the vocabulary is its UTF-8 bytes.
     """
+    pieces.prepare()
     out: dict[str, list[int]] = {}
-    begins, sums, open_starts, before = [0], [0.0], [[0]], ""
-    scores, prefixes, pairs, merges = pieces.scores, pieces.prefixes, pieces.pairs, pieces.merges
+    names, steps, ends, pairs, merges = pieces.names, pieces.steps, pieces.ends, pieces.pairs, pieces.merges
+    size, none = len(names), len(names) - 1
+    lengths, scores = [*map(len, names[:-1]), 1], [*pieces.scores.values(), pieces.floor]
+    numbers = [pieces.ids.get(name) for name in names]
+    lasts, sums, states, before = [none], [0.0], [0], ""
     for word in sorted(words):
         if word == LITERAL:
             out[word] = [pieces.byte_ids[b] for b in MARK.encode()]
             continue
-        n, common = len(word), 0
+        common = 0
         for a, b in zip(before, word, strict=False):
             if a != b:
                 break
             common += 1
-        del begins[common + 1 :], sums[common + 1 :], open_starts[common + 1 :]
-        for i in range(common + 1, n + 1):
-            still = [s for s in open_starts[i - 1] if word[s:i] in prefixes]
-            best, begin = -1e300, i - 1
-            for s in still:
-                piece = word[s:i]
-                if not prefixes[piece]:
-                    continue
-                if merges:
-                    left = word[begins[s] : s]
-                    fits = pairs.get((left, piece))
-                    if fits or fits is None and _follows(left, piece, pieces):
-                        best, begin = 0.0, s
+        del lasts[common + 1 :], sums[common + 1 :], states[common + 1 :]
+        state, i = states[common], common
+        for c in word[common:]:
+            i += 1
+            after = steps[state].get(c)
+            state = pieces.step(state, c) if after is None else after
+            last = none  # a character outside the vocabulary
+            if merges:
+                for length, piece in ends[state]:
+                    pair = lasts[i - length] * size + piece
+                    fits = pairs.get(pair)
+                    if fits or fits is None and _follows(pair, pieces):
+                        last = piece
                         break
-                elif (score := sums[s] + scores[piece]) > best:
-                    best, begin = score, s
-            if best == -1e300:  # a character outside the vocabulary
-                best = sums[i - 1] + pieces.floor
-            still.append(i)
-            begins.append(begin)
-            sums.append(best)
-            open_starts.append(still)
-        cut, at = [], n
-        while at:
-            cut.append(word[begins[at] : at])
-            at = begins[at]
+            else:
+                best = -inf
+                for length, piece in ends[state]:
+                    if (score := sums[i - length] + scores[piece]) > best:
+                        best, last = score, piece
+                sums.append(sums[i - 1] + pieces.floor if last == none else best)
+            lasts.append(last)
+            states.append(state)
         ids: list[int] = []
-        for piece in reversed(cut):
-            if piece in pieces.ids:
-                ids.append(pieces.ids[piece])
+        while i:
+            last = lasts[i]
+            if numbers[last] is None:
+                ids.extend(pieces.byte_ids[b] for b in reversed(word[i - 1].encode()))
             else:
-                ids.extend(pieces.byte_ids[b] for b in piece.encode())
+                ids.append(numbers[last])
+            i -= lengths[last]
+        ids.reverse()
         out[word] = ids
         before = word
     return out
@@ -212,7 +262,7 @@ def decode(ids: Iterable[int], pieces: Pieces) -> str:
 
 def _encoder(shared, round_trip: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: Pieces = shared.value
+        pieces: Pieces = received(shared)
         for batch in batches:
             for chunk in chunks(batch, size=SLICE_BYTES):
                 texts = chunk.column(1).to_pylist()
@@ -244,7 +294,7 @@ def _encoder(shared, round_trip: bool) -> Callable[[Iterator[pa.RecordBatch]], I
 
 def _decoder(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces: Pieces = shared.value
+        pieces: Pieces = received(shared)
         for batch in batches:
             at = batch.schema.get_field_index("token_ids")
             decoded = [decode(ids, pieces) if ids else "" for ids in batch.column(at).to_pylist()]
@@ -264,7 +314,7 @@ def encode(
     Each chunk of texts (6 MB) sorts its distinct words that the worker doesn't remember.
     U+2581 in a text is written as bytes, so that decoding gives back every text.
     """
-    pieces = docs.sparkSession.sparkContext.broadcast(load_pieces(model_file))
+    pieces = sent(docs.sparkSession, load_pieces(model_file))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     schema += ", token_ids array<int>" + ", round_trip boolean" * round_trip
@@ -273,6 +323,6 @@ def encode(
 
 def decoded(encoded: DataFrame, model_file: str) -> DataFrame:
     """The encoded rows with a further column, decoded: the text of token_ids (null or no ids: empty)."""
-    pieces = encoded.sparkSession.sparkContext.broadcast(load_pieces(model_file))
+    pieces = sent(encoded.sparkSession, load_pieces(model_file))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(_decoder(pieces), f"{schema}, decoded string")
