@@ -6,6 +6,8 @@ that row; only putting the two documents of a poll together needs a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,6 +108,17 @@ def ts_sort_key(entry: Column) -> Column:
     )
 
 
+def _last_of_each(rows: Column, key: Callable[[Column], Column], order: Callable[[Column], Column]) -> Column:
+    """Of the rows of an array with one key, the one that comes last in order: one sort, whatever the number of keys."""
+    keyed = F.transform(rows, lambda r: F.struct(key(r).alias("key"), order(r).alias("order"), r.alias("row")))
+
+    def ends(ordered: Column) -> Column:
+        last = F.filter(ordered, lambda r, i: (i == F.size(ordered) - 1) | (F.get(ordered, i + 1)["key"] != r["key"]))
+        return F.transform(last, lambda r: r["row"])
+
+    return bound(F.sort_array(keyed), ends)
+
+
 def _newest(entries: Column) -> Column:
     keyed = F.transform(entries, lambda e: F.struct(ts_sort_key(e).alias("k"), e.alias("e")))
     return F.array_max(keyed)["e"]
@@ -118,8 +131,7 @@ def overall_score(parsed: DataFrame) -> DataFrame:
 
 def _latest(history: Column) -> Column:
     known = F.filter(history, lambda e: e["monitor_id"].isNotNull())
-    ids = F.array_distinct(F.transform(known, lambda e: e["monitor_id"]))
-    return F.transform(ids, lambda m: _newest(F.filter(known, lambda e: e["monitor_id"] == m)))
+    return _last_of_each(known, lambda e: e["monitor_id"], ts_sort_key)
 
 
 def latest_by_monitor(parsed: DataFrame) -> DataFrame:
@@ -129,49 +141,37 @@ def latest_by_monitor(parsed: DataFrame) -> DataFrame:
     )
 
 
-def _name_of(monitors: Column, monitor_id: Column) -> Column:
-    named = F.transform(F.filter(monitors, lambda m: m["id"] == monitor_id), lambda m: m["name"])
-    last = F.try_element_at(named, F.lit(-1))
-    return F.coalesce(F.nullif(last, F.lit("")), monitor_id.cast("string"))
+def _names(monitors: Column) -> Column:
+    """Map of each listed monitor id to its display name: the last listing's, or the id where that is empty."""
+    listed = F.transform(monitors, lambda m, i: F.struct(m["id"].alias("id"), i.alias("pos"), m["name"].alias("name")))
+    last = _last_of_each(F.filter(listed, lambda m: m["id"].isNotNull()), lambda m: m["id"], lambda m: m["pos"])
+    name = lambda m: F.coalesce(F.nullif(m["name"], F.lit("")), m["id"].cast("string"))
+    return F.map_from_entries(F.transform(last, lambda m: F.struct(m["id"].alias("monitor_id"), name(m).alias("name"))))
 
 
 def monitor_names(parsed: DataFrame) -> DataFrame:
     """One row per document and listed monitor id, with its display name."""
-    ids = F.array_distinct(F.filter(F.transform("monitors", lambda m: m["id"]), lambda i: i.isNotNull()))
     rest = [c for c in parsed.columns if c not in ("history", "monitors", "body")]
-    named = F.transform(
-        ids, lambda i: F.struct(i.alias("monitor_id"), _name_of(F.col("monitors"), i).alias("name"))
+    return parsed.select(*rest, F.inline(F.map_entries(_names(F.col("monitors"))))).withColumnsRenamed(
+        {"key": "monitor_id", "value": "name"}
     )
-    return parsed.select(*rest, F.inline(named))
 
 
 def _values(parsed: DataFrame) -> Column:
-    entries = F.transform(
-        _latest(F.col("history")),
-        lambda e: F.struct(
-            _name_of(F.col("monitors"), e["monitor_id"]).alias("monitor"),
-            e["monitor_id"].alias("monitor_id"),
-            e["score"].alias("score"),
-            e["offset"].alias("offset_s"),
-            (e["rtt"] / 1000.0).alias("rtt_s"),
-        ),
-    )
-    by_name = F.transform(
-        entries, lambda e: F.struct(e["monitor"].alias("monitor"), e["monitor_id"].alias("monitor_id"), e.alias("entry"))
-    )
-
-    def kept(rows: Column) -> Column:
-        highest = F.map_from_entries(F.transform(
-            F.array_distinct(F.transform(rows, lambda r: r["monitor"])),
-            lambda name: F.struct(name, F.array_max(F.transform(
-                F.filter(rows, lambda r: r["monitor"] == name), lambda r: r["monitor_id"]
-            ))),
-        ))
+    def named(names: Column) -> Column:
         return F.transform(
-            F.filter(rows, lambda r: r["monitor_id"] == F.element_at(highest, r["monitor"])), lambda r: r["entry"]
+            _latest(F.col("history")),
+            lambda e: F.struct(
+                F.coalesce(F.element_at(names, e["monitor_id"]), e["monitor_id"].cast("string")).alias("monitor"),
+                e["monitor_id"].alias("monitor_id"),
+                e["score"].alias("score"),
+                e["offset"].alias("offset_s"),
+                (e["rtt"] / 1000.0).alias("rtt_s"),
+            ),
         )
 
-    return bound(by_name, kept)
+    entries = bound(_names(F.col("monitors")), named)
+    return _last_of_each(entries, lambda e: e["monitor"], lambda e: e["monitor_id"])
 
 
 def monitor_values(parsed: DataFrame) -> DataFrame:

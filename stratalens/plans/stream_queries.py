@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from stratalens.operators import enrich, streams
 from stratalens.operators.decode import keep_client_traffic
+from stratalens.operators.samples import with_series
 from stratalens.operators.steps import AT, Step, stepped
 from stratalens.plans.client_queries import ESTIMATE, RAW
 from stratalens.plans.inputs import ACTIVE_WINDOW, EVENTS_SCHEMA, FLUSH, TOP, TTL, Inputs, client_packets, frames, raw_packets, with_time
 from stratalens.plans.registry import query
 from stratalens.session import shared_path
-from stratalens.sources import readers
+from stratalens.sources import readers, sinks
 
 PARTS = 4
 JITTER_US = 3 * 3_600_000_000  # events come up to four times this late
@@ -150,3 +151,14 @@ def _(t: Inputs):
         return found.select("seq", "country", "continent", "asn")
 
     return _run(t, work, "enriched")
+
+
+@query("snk_1_stream_samples", "SELECT us, metric, series, value FROM sms")
+def _(t: Inputs):
+    """Samples that come in files, written by the streaming sink, whose folders are merged on the way."""
+    files = landed(t.samples, F.pmod(F.unix_micros("ts"), F.lit(7)), 7, "scraped")
+    source = readers.read_samples(t.spark, files, streaming=True, maxFilesPerTrigger=1)
+    path = shared_path(t.spark, "streamed")
+    sinks.stream_samples(source, path, shared_path(t.spark, "sink_state"), merge_every=3).awaitTermination()
+    samples = with_series(sinks.read_streamed(t.spark, path))
+    return samples.select(F.unix_micros("ts").alias("us"), "metric", "series", "value")

@@ -122,10 +122,10 @@ def read_score_docs(spark: SparkSession, path: str, streaming: bool = False, fil
 
 
 def read_samples(
-    spark: SparkSession, path: str, host: str | None = None, streaming: bool = False
+    spark: SparkSession, path: str, host: str | None = None, streaming: bool = False, **options
 ) -> DataFrame:
     """Scraped samples; ``host`` is put on every one."""
-    samples = _read(spark, path, SAMPLES, streaming=streaming)
+    samples = _read(spark, path, SAMPLES, streaming=streaming, **options)
     return with_host(samples, host) if host else samples
 
 

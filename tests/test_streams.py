@@ -3,6 +3,8 @@
 import glob
 import os
 import random
+import shutil
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +124,42 @@ def test_polls_whose_documents_come_apart(spark, tmp_path):
     polls = streams.drain(streams.poll_stream(source, "10 minutes"), f"{tmp_path}/s", each=streams.poll_outcomes)
     assert sorted((r.poll_ts.minute, r.success, r.score) for r in polls.collect()) == [
         (0, True, 5.0), (1, False, None), (2, False, None), (30, True, 5.0), (31, True, 5.0)]
+
+
+def test_sample_sink_merges_and_redoes(spark, tmp_path):
+    """Folders are merged between batches; a redone batch, and a merge that broke off, leave every sample once."""
+    from stratalens.sources import readers, sinks
+
+    source, sink, state = (str(tmp_path / n) for n in ("in", "sink", "state"))
+
+    def arrive(first, last):
+        rows = [(f"m{i % 3}", {"n": str(i)}, datetime(2024, 1, 1 + i % 5), float(i)) for i in range(first, last)]
+        spark.createDataFrame(rows, readers.SAMPLES).coalesce(1).write.mode("append").parquet(source)
+
+    def go():
+        stream = readers.read_samples(spark, source, streaming=True, maxFilesPerTrigger=1)
+        sinks.stream_samples(stream, sink, state, merge_every=2).awaitTermination()
+
+    def values():
+        return sorted(r.value for r in sinks.read_streamed(spark, sink).collect())
+
+    assert sinks.read_streamed(spark, sink).collect() == []
+    for k in range(3):
+        arrive(10 * k, 10 * k + 10)
+    go()
+    assert values() == list(range(30)) and set(sinks._folders(spark, sink)) == {(0, 1), (2, 2)}
+    last = max((tmp_path / "state" / "commits").glob("[0-9]*"))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    arrive(30, 40)
+    go()
+    assert values() == list(range(40))
+    left = tmp_path / "sink" / "batches=2-3"
+    (left / "metric=m0").mkdir(parents=True)  # without a success mark
+    assert values() == list(range(40))
+    arrive(40, 50)
+    go()
+    assert values() == list(range(50)) and set(sinks._folders(spark, sink)) == {(0, 1), (2, 3), (4, 4)}
+    shutil.copytree(tmp_path / "sink" / "batches=4-4", tmp_path / "sink" / "batches=3-3")  # what a merge failed to delete
+    assert values() == list(range(50))
+    assert "PartitionFilters: [isnotnull(metric" in sinks.read_streamed(spark, sink).where("metric = 'm1'")._jdf.queryExecution().toString()
