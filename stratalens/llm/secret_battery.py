@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from stratalens.llm.shared import discard, stored
@@ -90,7 +92,6 @@ def battery(text: str) -> tuple[str, float, float, float] | None:
     return name, uniform, min(of_runs, 1.0), min(serial, 1.0)
 
 
-_MIXED = re.compile(r"[+/].*[-_]|[-_].*[+/]", re.DOTALL)
 #: What a run of '+' or '/' with '-' or '_', which no encoding holds, is split into: the longest parts in each alphabet.
 _PARTS = [re.compile(f"[A-Za-z0-9{signs}]+") for signs in ("+/", "_-", "")]
 
@@ -98,7 +99,7 @@ _PARTS = [re.compile(f"[A-Za-z0-9{signs}]+") for signs in ("+/", "_-", "")]
 def parts(run: str, shortest: int) -> list[tuple[int, int]]:
     """Places of the strings to test in a run of token characters: all of it, or where no encoding holds it its parts of
     base64, base64url and base62 characters; parts may overlap."""
-    if not _MIXED.search(run):
+    if not (("+" in run or "/" in run) and ("-" in run or "_" in run)):
         return [(0, len(run))] if len(run) >= shortest else []
     return sorted({m.span() for p in _PARTS for m in p.finditer(run) if m.end() - m.start() >= shortest})
 
@@ -149,8 +150,8 @@ def text_model(docs: DataFrame, text_col: str = "text", shortest: int = 20) -> n
     return np.log((counts + 8 * share) / (counts.sum(axis=1, keepdims=True) + 8))
 
 
-def _scanner(model, battery_of: Battery, text_col: str) -> Callable:
-    """For each text: its pattern spans, and the candidates that pass the battery, with their evidence.
+def _chunk_scanner(model, battery_of: Battery) -> Callable[[pa.Array], tuple[list[list], list[list]]]:
+    """For each text: its pattern spans, and all candidates with their evidence, 0 for those that the battery rejects.
 
     Evidence: four times the log-likelihood ratio of uniform randomness to the corpus's own character pairs, rounded
     down; exp(-ratio) bounds the chance that ordinary text looks so random (Markov's inequality).
@@ -163,11 +164,10 @@ def _scanner(model, battery_of: Battery, text_col: str) -> Callable:
         count = len(ends) - 1
         found: list[list] = [[] for _ in range(count)]
         candidates: list[list] = [[] for _ in range(count)]
-        continuation = (data & 0xC0) == 0x80
+        begun = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points that begin before each byte
 
         def points(doc: int, start: int, stop: int) -> tuple[int, int]:
-            base = int(ends[doc])
-            a = start - base - int(np.count_nonzero(continuation[base:start]))
+            a = int(begun[start] - begun[ends[doc]])
             return a, a + stop - start
 
         starts, stops = runs(_HEX[data], ends) if len(data) else (np.zeros(0, int), np.zeros(0, int))
@@ -190,15 +190,22 @@ def _scanner(model, battery_of: Battery, text_col: str) -> Callable:
         for a, b, doc in zip(starts[long].tolist(), stops[long].tolist(), (np.searchsorted(ends, starts[long], "right") - 1).tolist(), strict=True):
             for u, v in ((a + u, a + v) for u, v in parts(raw[a:b].decode(), battery_of.shortest)):
                 tested = battery(raw[u:v].decode())
-                if tested is None or min(tested[1:]) < battery_of.reject:
+                if tested is None:
                     continue
-                kinds = _classes(data[max(u - 1, int(ends[doc])) : v])
-                ratio = (len(kinds) - 1) * -math.log(len(ENCODINGS[tested[0]])) - float(model.value[kinds[:-1], kinds[1:]].sum())
+                ratio = 0.0
+                if min(tested[1:]) >= battery_of.reject:
+                    kinds = _classes(data[max(u - 1, int(ends[doc])) : v])
+                    ratio = (len(kinds) - 1) * -math.log(len(ENCODINGS[tested[0]])) - float(model.value[kinds[:-1], kinds[1:]].sum())
                 p, q = points(doc, u, v)
                 stratum = int(np.searchsorted(strata, v - u, "right")) - 1
                 candidates[doc].append((p, q, stratum, int(max(0.0, min(ratio, 500.0)) * 4)))
         return found, candidates
 
+    return scan_chunk
+
+
+def _scanner(model, battery_of: Battery, text_col: str) -> Callable:
+    scan_chunk = _chunk_scanner(model, battery_of)
     found_type = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
     candidate_type = pa.list_(
         pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.int32()), ("evidence", pa.int32())])
@@ -220,7 +227,7 @@ def _scanner(model, battery_of: Battery, text_col: str) -> Callable:
 
 
 def scan(docs: DataFrame, battery_of: Battery, model: np.ndarray, text_col: str) -> DataFrame:
-    """docs with _found (pattern spans) and _candidates (strings that pass the battery)."""
+    """docs with _found (pattern spans) and _candidates (strings that the battery tested)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(
@@ -231,6 +238,7 @@ def scan(docs: DataFrame, battery_of: Battery, model: np.ndarray, text_col: str)
 def evidence_floors(scanned: DataFrame, battery_of: Battery) -> list[int]:
     """Per stratum, the least evidence at which the Benjamini-Hochberg rule still calls a candidate a secret.
 
+    The rule's number of tests is that of all candidates, those that the battery rejects with a p-value of 1 among them.
     Counts are over all documents, by stratum and rounded evidence (some 2,000 values each), so the driver sees a
     bounded table. A stratum without discoveries gets a floor that nothing reaches.
     """
@@ -252,28 +260,76 @@ def evidence_floors(scanned: DataFrame, battery_of: Battery) -> list[int]:
     return floors
 
 
-def _spans(floors: list[int]) -> F.Column:
-    """All spans: the patterns', then the battery's that touch none of these (overlapping ones as one), by start and kind."""
-    limits = F.array(*[F.lit(x) for x in floors])
-    passed = F.filter("_candidates", lambda c: c["evidence"] >= F.element_at(limits, c["stratum"] + 1))
-    apart = F.filter(
-        passed, lambda c: ~F.exists("_found", lambda f: (f["start"] < c["end"]) & (c["start"] < f["end"]))
-    )
-    ordered = F.sort_array(F.transform(apart, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))))
-
-    def joined(acc: F.Column, c: F.Column) -> F.Column:
-        last = F.get(acc, F.size(acc) - 1)
-        both = F.struct(last["start"].alias("start"), F.greatest(last["end"], c["end"]).alias("end"))
-        return F.when(last["end"] > c["start"], F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(both))).otherwise(
-            F.concat(acc, F.array(c))
-        )
-
-    merged = F.aggregate(ordered, F.array().cast("array<struct<start: bigint, end: bigint>>"), joined)
-    random = F.transform(
-        F.when(F.size(apart) > 1, merged).otherwise(ordered),
-        lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")),
-    )
-    return F.sort_array(F.concat("_found", random))
+def merged_spans(found: list[tuple], candidates: list[tuple], floors: list[int]) -> list[tuple[int, int, int]]:
+    """All spans (start, kind, end) of a text: the patterns', then those of candidates at or above their stratum's floor
+    that touch none of these (overlapping ones as one), by start and kind. Work is linear but for the sorting."""
+    starts, stops = [], []  # the patterns' spans as disjoint stretches
+    for a, _, b in sorted(found):
+        if stops and a <= stops[-1]:
+            stops[-1] = max(stops[-1], b)
+        else:
+            starts.append(a)
+            stops.append(b)
+    random: list[list[int]] = []
+    for a, b, stratum, evidence in sorted(candidates):
+        if evidence < floors[stratum]:
+            continue
+        before = bisect_left(starts, b) - 1
+        if before >= 0 and stops[before] > a:
+            continue
+        if random and random[-1][1] > a:
+            random[-1][1] = max(random[-1][1], b)
+        else:
+            random.append([a, b])
+    return sorted([*found, *((a, 3, b) for a, b in random)])
+
+
+def _span_adder(floors: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, candidates = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("_found", "_candidates"))
+            spans = [
+                merged_spans([tuple(f.values()) for f in fs], [tuple(c.values()) for c in cs], floors)
+                for fs, cs in zip(found, candidates, strict=True)
+            ]
+            rows = [[{"start": a, "kind": k, "end": b} for a, k, b in s] for s in spans]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, "_spans"])
+
+    return add
+
+
+def _cut(text: str, spans: list[tuple[int, int, int]], mark: str) -> str:
+    """The text with a mark for each span; overlapping spans get one."""
+    out, at = [], 0
+    for start, _, end in spans:
+        if end <= at:
+            continue
+        if start >= at:
+            out += [text[at:start], mark]
+        at = end
+    return "".join([*out, text[at:]])
+
+
+def _redactor(model, battery_of: Battery, floors: list[int], text_col: str, mark: str) -> Callable:
+    """Batches with spans cut from the text, and _hit where there were any."""
+    scan_chunk = _chunk_scanner(model, battery_of)
+
+    def redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = batch.schema.get_field_index(text_col)
+            for chunk in chunks(batch, text_col):
+                texts = chunk.column(place)
+                spans = [merged_spans(f, c, floors) for f, c in zip(*scan_chunk(texts), strict=True)]
+                hit = pa.array([bool(s) for s in spans], pa.bool_())
+                clean = [_cut(texts[i].as_py(), s, mark) for i, s in enumerate(spans) if s]
+                if clean:
+                    texts = pc.replace_with_mask(texts, hit, pa.array(clean, texts.type))
+                columns = [*chunk.columns[:place], texts, *chunk.columns[place + 1 :], hit]
+                yield pa.RecordBatch.from_arrays(columns, names=[*chunk.schema.names, "_hit"])
+
+    return redact
 
 
 def _written(spans: F.Column) -> F.Column:
@@ -294,11 +350,12 @@ def secrets(docs: DataFrame, battery_of: Battery = Battery(), id_col: str = "doc
     plain = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     model = text_model(plain, shortest=battery_of.shortest)
     scanned = stored(scan(plain, battery_of, model, "text").drop("text"), "secrets")
-    spans = _spans(evidence_floors(scanned, battery_of))
-    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
-    return scanned.withColumn("spans", spans).select(
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scanned.schema) + f", _spans array<{FOUND}>"
+    spanned = scanned.mapInArrow(_span_adder(evidence_floors(scanned, battery_of)), schema)
+    count = lambda k: F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("long")
+    return spanned.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), count(3).alias("n_random"),
-        F.sha2(_written(F.col("_found")).cast("binary"), 256).alias("base_sha256"), _written(F.col("spans")).alias("spans"),
+        F.sha2(_written(F.col("_found")).cast("binary"), 256).alias("base_sha256"), _written(F.col("_spans")).alias("spans"),
     )
 
 
@@ -310,29 +367,15 @@ def redacted(docs: DataFrame, battery_of: Battery = Battery(), text_col: str = "
     names = docs.columns
     own = docs.toDF(*[f"c{i}" for i in range(len(names))])
     text_name = f"c{names.index(text_col)}"
-    text = F.col(text_name)
     model = text_model(own, text_name, battery_of.shortest)
-    narrow = stored(scan(own.select(text), battery_of, model, text_name).drop(text_name), "secrets")
-    spans = _spans(evidence_floors(narrow, battery_of))
+    narrow = stored(scan(own.select(text_name), battery_of, model, text_name).drop(text_name), "secrets")
+    floors = evidence_floors(narrow, battery_of)
     discard(narrow)
-    scanned = scan(own, battery_of, model, text_name)
-    parts = F.aggregate(
-        spans, F.struct(F.lit("").alias("done"), F.lit(0).cast("bigint").alias("at")),
-        lambda acc, s: F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(
-            F.when(s["start"] < acc["at"], acc["done"]).otherwise(
-                F.concat(acc["done"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))
-            ).alias("done"),
-            s["end"].alias("at"),
-        )),
-    )
-    clean = scanned.withColumn("_parts", F.when(F.size(spans) > 0, parts)).withColumn(
-        text_name,
-        F.when(F.col("_parts").isNull(), text).otherwise(
-            F.concat(F.col("_parts.done"), F.substring(text, (F.col("_parts.at") + 1).cast("int"), F.lit(2147483647)))
-        ),
-    )
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in own.schema) + ", _hit boolean"
+    shared = own.sparkSession.sparkContext.broadcast(model)
+    clean = own.mapInArrow(_redactor(shared, battery_of, floors, text_name, mark), schema)
     if "n_chars" in names:
         count = f"c{names.index('n_chars')}"
-        length = F.length(text).cast(own.schema[count].dataType)
-        clean = clean.withColumn(count, F.when(F.col("_parts").isNull(), F.col(count)).otherwise(length))
+        length = F.length(text_name).cast(own.schema[count].dataType)
+        clean = clean.withColumn(count, F.when(F.col("_hit"), length).otherwise(F.col(count)))
     return clean.select(*own.columns).toDF(*names)

@@ -1,7 +1,11 @@
+import math
 import random
 import re
+import time
 
-from stratalens.llm.secret_battery import battery, parts, redacted, secrets
+from stratalens.llm.secret_battery import (
+    ENCODINGS, Battery, _cut, battery, evidence_floors, merged_spans, parts, redacted, secrets,
+)
 
 PATTERNS = {
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 6),
@@ -85,3 +89,76 @@ def test_parts_of_runs():
     assert parts("a" * 30, 20) == [(0, 30)] and parts("a" * 30 + "-_", 20) == [(0, 32)] and parts("a" * 19, 20) == []
     assert parts("api_v1/" + "a" * 20, 20) == [(4, 27), (7, 27)]
     assert parts("a" * 10 + "-" + "a" * 10 + "/" + "a" * 10 + "+" + "a" * 10, 20) == [(0, 21), (11, 43)]
+
+
+def test_a_long_text_of_many_spans(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("0123456789abcdef") for _ in range(30)) if i % 2 else "é/a/b c" for i in range(60_000)]
+    text = " ".join(words)
+    frame = spark.createDataFrame([(1, text), (2, "a/" * 200_000)], "doc_id long, text string")
+    begun = time.monotonic()
+    out = {r.doc_id: r for r in secrets(frame).collect()}
+    clean = {r.doc_id: r.text for r in redacted(frame).collect()}
+    assert time.monotonic() - begun < 60  # a quadratic scan takes many minutes
+    assert len(text) > 1_000_000 and out[1].n_hex == 30_000
+    assert out[1].spans.split(",")[:30_000] == base(text)
+    assert clean[1] == " ".join("[SECRET]" if i % 2 else "é/a/b c" for i in range(60_000)) and clean[2] == "a/" * 200_000
+
+
+def test_spans_against_all_pairs():
+    rng = random.Random(9)
+    for _ in range(500):
+        spot = lambda: (a := rng.randrange(60), a + 1 + rng.randrange(12))
+        found = [(a, rng.randrange(3), b) for a, b in (spot() for _ in range(rng.randrange(5)))]
+        candidates = [(*spot(), rng.randrange(2), rng.randrange(4)) for _ in range(rng.randrange(8))]
+        kept = [c for c in candidates if c[3] >= (2, 1)[c[2]] and not any(f[0] < c[1] and c[0] < f[2] for f in found)]
+        covered = [p for p in range(80) if any(a <= p and p + 1 < b for a, b, *_ in kept)]  # joints of one span
+        ends = {p for c in kept for p in range(c[0], c[1])}
+        groups, last = [], None
+        for p in sorted(ends):
+            if last is not None and last == p - 1 and last in covered:
+                groups[-1][1] = p + 1
+            else:
+                groups.append([p, p + 1])
+            last = p
+        got = merged_spans(found, candidates, [2, 1])
+        assert got == sorted(found + [(a, 3, b) for a, b in groups])
+        text = "".join(chr(200 + i) for i in range(90))
+        hidden = {p for a, _, b in got for p in range(a, b)}
+        assert _cut(text, got, "") == "".join(c for i, c in enumerate(text) if i not in hidden)
+
+
+def test_p_values_by_definition():
+    rng = random.Random(10)
+    for name, alphabet in ENCODINGS.items():
+        for n in (24, 44, 200):
+            text = "".join(rng.choice(alphabet) for _ in range(n))
+            encoding, uniform, of_runs, serial = battery(text)
+            alphabet_of = ENCODINGS[encoding]
+            size, values = len(alphabet_of), [alphabet_of.index(c) for c in text]
+            x = sum((values.count(v) - n / size) ** 2 / (n / size) for v in range(size)) / 2
+            exact = math.erfc(math.sqrt(x)) + sum(
+                math.exp(-x + (k - 0.5) * math.log(x) - math.lgamma(k + 0.5)) for k in range(1, (size - 2) // 2 + 1)
+            )
+            if size % 2 == 0:  # the closed form is that of an odd number of degrees of freedom
+                assert abs(uniform - exact) < 0.01, (name, n)
+            high = [v >= size / 2 for v in values]
+            up, down = sum(high), n - sum(high)
+            count = 1 + sum(a != b for a, b in zip(high, high[1:]))
+            mean = 1 + 2 * up * down / n
+            sd = math.sqrt(2 * up * down * (2 * up * down - n) / (n * n * (n - 1)))
+            assert abs(of_runs - math.erfc(abs(count - mean) / sd / math.sqrt(2))) < 1e-9
+            mid, variance = (size - 1) / 2, sum((v - (size - 1) / 2) ** 2 for v in range(size)) / size
+            s = sum((a - mid) * (b - mid) for a, b in zip(values, values[1:]))
+            assert abs(serial - math.erfc(abs(s) / (variance * math.sqrt(n - 1)) / math.sqrt(2))) < 1e-9
+
+
+def test_floors_count_all_tested(spark):
+    rng = random.Random(11)
+    rows = [[(0, 20, s, rng.choice([0, 0, 0, rng.randrange(5, 60)])) for s in range(5) for _ in range(rng.randrange(40))] for _ in range(20)]
+    schema = "_candidates array<struct<start: bigint, end: bigint, stratum: int, evidence: int>>"
+    got = evidence_floors(spark.createDataFrame([(r,) for r in rows], schema), Battery())
+    for s in range(5):
+        tested = [e for r in rows for *_, stratum, e in r if stratum == s]
+        passing = [e for e in tested if math.exp(-e / 4) <= 0.01 * sum(x >= e for x in tested) / len(tested)]
+        assert got[s] == min(passing, default=1 << 30)
