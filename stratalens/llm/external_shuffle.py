@@ -40,12 +40,14 @@ def external_shuffle(
 ) -> DataFrame:
     """docs, all columns, with shard (int) and slot (long): one random order of all rows, cut into shards.
 
-    Pass one scatters whole records over buckets of about ``bucket_bytes`` by a seeded hash of the id; pass two sorts a
+    Pass one scatters whole records over buckets of about ``bucket_bytes`` by a seeded hash of id and text; pass two sorts a
     bucket, shuffles it with a generator seeded by seed and bucket, and gives its rows the places after those of the
     buckets before it. The shards are consecutive cuts of these places, sizes at most one apart and the larger first; slots
-    count from 0 in each. The order depends on ids, texts and seed alone, except for an id with more rows than a bucket
-    should hold: its rows are told apart by their place in the input, so that they spread too. Other rows of one id
-    stand by text before the shuffle; null ids are an id like any other. A null text counts 0 bytes. Columns of docs
+    count from 0 in each. The order depends on the rows and the seed alone, however the input is partitioned. Rows of one
+    id and text that outweigh a bucket, in rows or bytes, are counted and dealt out again by their number among equal
+    rows, so that they spread too. Equal rows are alike in all columns, so it does not matter which of them goes where;
+    rows of one id and text that differ elsewhere stand by a hash of all columns. Null ids are an id like any
+    other, a null text counts 0 bytes. Columns must be such as Spark can hash and group, so no maps. Columns of docs
     that are called shard or slot keep their names and the new ones get an underscore. No rows in: none out.
     """
     names = docs.columns
@@ -55,12 +57,22 @@ def external_shuffle(
     rows, total = own.agg(F.count("*"), F.sum(size)).first()
     buckets = max(1, -(-(total or 0) // bucket_bytes))
     per_bucket = max(1, rows // buckets)
-    # At most `buckets` ids can have more rows than an even bucket, whatever the input.
-    hot = own.groupBy(F.xxhash64(id_name).alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > per_bucket)
-    hot_keys = [r.key for r in hot.select("key").collect()] if rows else []
-    key = F.xxhash64(id_name)
-    copy = F.when(key.isin(hot_keys), F.monotonically_increasing_id()).otherwise(0) if hot_keys else F.lit(0).cast("long")
-    dealt = own.withColumns({"key": key, "copy": copy, "tie": F.xxhash64(text_name)})
+    same = ["key", "tie"]
+    keyed = own.withColumns({"key": F.xxhash64(id_name, text_name), "tie": F.xxhash64(*own.columns)})
+    heavy = (
+        keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum(size).alias("bytes"))
+        .where((F.col("n") > 1) & ((F.col("n") > per_bucket) | (F.col("bytes") > bucket_bytes)))
+    )
+    # At most two groups a bucket are heavy; Spark broadcasts the written table only while it is below its size limit.
+    heavy = stored(heavy.select("key"), "heavy")
+    first = F.lit(0).cast("long")
+    if heavy.isEmpty():
+        dealt = keyed.withColumn("copy", first)
+    else:
+        equal = keyed.join(heavy, "key", "left_semi").groupBy(*own.columns, *same).agg(F.count("*").alias("n"))
+        numbered = equal.withColumn("number", F.explode(F.sequence(first, F.col("n") - 1)))
+        numbered = numbered.select(*own.columns, *same, F.xxhash64("tie", "number").alias("copy"))
+        dealt = keyed.join(heavy, "key", "left_anti").select(*own.columns, *same, first.alias("copy")).union(numbered)
     dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "key", "copy"), F.lit(buckets)))
     counts = stored(dealt.groupBy("bucket").agg(F.count("*").alias("n")), "buckets")
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
