@@ -7,15 +7,17 @@ same result from windows over (key, time slice):
 * ``lag_within`` copies the rows near the end of a slice into the slices they
   can still influence. One shuffle; exact whenever the caller only uses a
   previous row that is at most ``horizon`` older.
-* ``running_sum`` and ``carry_last`` have no such bound. They work inside each
-  slice and add what one row per (key, slice) says about the earlier slices.
+* ``running_sum`` and ``carry_last`` have no such bound. They work in three
+  levels: inside each slice, over the summaries of a block of ``BLOCK`` slices,
+  and over one row per (key, block). A history of n slices thus has no window of
+  more than ``BLOCK`` or n / ``BLOCK`` summaries.
 
 Key columns must not be NULL.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 from stratalens.functions.timegrid import grid_index
 
 SLICES_PER_HORIZON = 8
+BLOCK = 4096
 
 
 def default_width(horizon: int) -> int:
@@ -65,6 +68,30 @@ def _slice_join(inside: DataFrame, summary: DataFrame, keys: Sequence[str]) -> D
     return inside.join(summary, [*keys, "_slice"], "left")
 
 
+def _earlier(
+    summary: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    out: str,
+    over: Callable[[str], Column],
+    whole: Column,
+    join: Callable[[Column, Column], Column],
+) -> DataFrame:
+    """(keys, _slice, out): what the slices before each slice of its key come to.
+
+    ``over`` folds a column over a window, ``whole`` folds ``value`` over a
+    block, ``join`` puts together the fold of the block's earlier slices and
+    that of the earlier blocks.
+    """
+    blocked = summary.withColumn("_block", grid_index(F.col("_slice"), BLOCK))
+    ahead = (W.unboundedPreceding, -1)
+    near = over(value).over(W.partitionBy(*keys, "_block").orderBy("_slice").rowsBetween(*ahead))
+    far = over("_whole").over(W.partitionBy(*keys).orderBy("_block").rowsBetween(*ahead))
+    blocks = blocked.groupBy(*keys, "_block").agg(whole.alias("_whole")).select(*keys, "_block", far.alias("_far"))
+    joined = blocked.withColumn("_near", near).join(blocks, [*keys, "_block"], "left")
+    return joined.select(*keys, "_slice", join(F.col("_near"), F.col("_far")).alias(out))
+
+
 def running_sum(
     df: DataFrame,
     keys: Sequence[str],
@@ -86,11 +113,9 @@ def running_sum(
             .rowsBetween(W.unboundedPreceding, W.currentRow)
         ),
     )
-    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    summary = (
-        sliced.groupBy(*keys, "_slice")
-        .agg(F.sum("_v").alias("_total"))
-        .select(*keys, "_slice", F.sum("_total").over(before).alias("_base"))
+    summary = _earlier(
+        sliced.groupBy(*keys, "_slice").agg(F.sum("_v").alias("_total")), keys, "_total", "_base",
+        F.sum, F.sum("_total"), lambda near, far: F.coalesce(near, F.lit(0)) + F.coalesce(far, F.lit(0)),
     )
     total = F.coalesce(F.col("_base"), F.lit(0)) + F.coalesce(F.col("_in"), F.lit(0))
     return (
@@ -100,6 +125,14 @@ def running_sum(
     )
 
 
+def next_value(
+    df: DataFrame, keys: Sequence[str], time_col: str, value: str, out: str, width: int
+) -> DataFrame:
+    """``value`` of the key's next row; rows of a key must differ in time."""
+    turned = df.withColumn("_back", -F.col(time_col))
+    return carry_last(turned, keys, "_back", [], value, out, width, include_current=False).drop("_back")
+
+
 def carry_last(
     df: DataFrame,
     keys: Sequence[str],
@@ -123,11 +156,11 @@ def carry_last(
         ),
     )
     order = F.when(F.col("_v").isNotNull(), F.struct(time_col, *ties))
-    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    summary = (
-        sliced.groupBy(*keys, "_slice")
-        .agg(F.max_by("_v", order).alias("_end"))
-        .select(*keys, "_slice", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
+    summary = _earlier(
+        sliced.groupBy(*keys, "_slice").agg(F.max_by("_v", order).alias("_end")), keys, "_end", "_carry",
+        lambda c: F.last(c, ignorenulls=True),
+        F.max_by("_end", F.when(F.col("_end").isNotNull(), F.col("_slice"))),
+        F.coalesce,
     )
     return (
         _slice_join(inside, summary, keys)

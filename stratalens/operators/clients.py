@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratalens.functions import sketch
-from stratalens.functions.slices import lag_within, running_sum
+from stratalens.functions.slices import lag_within, running_sum, with_halo
 from stratalens.functions.timegrid import SECOND_NS, ceil_to, floor_to, seconds_of
 from stratalens.operators.traffic import FLUSH_S
 
@@ -34,8 +34,9 @@ def active_clients(
     A request keeps its client active from the next tick up to the last tick
     within the window. Requests collapse to one row per client and such span
     before the shuffle, so the rows per client are bounded by the ticks. Spans
-    of one client merge by cutting each at the next span's start; what is left
-    adds +1 and -1 per tick and sums up over the ticks.
+    of one client merge by cutting each at the next span's start, which only
+    matters within the window, so time slices of a client are cut apart; what is
+    left adds +1 and -1 per tick and sums up over the ticks.
     """
     spans = (
         _requests(packets)
@@ -48,8 +49,11 @@ def active_clients(
         .groupBy("client_ip", "enter")
         .agg(F.max("leave").alias("leave"))
     )
-    follow = F.lead("enter").over(W.partitionBy("client_ip").orderBy("enter"))
-    disjoint = spans.withColumn("leave", F.least(F.col("leave"), F.coalesce(follow - every, F.col("leave"))))
+    followed = lag_within(
+        spans.withColumn("_back", -F.col("enter")), ["client_ip"], "_back", [], {"_next": "enter"}, window + every
+    )
+    cut = F.coalesce(F.col("_next") - every, F.col("leave"))
+    disjoint = followed.withColumn("leave", F.least(F.col("leave"), cut))
     edges = F.array(
         F.struct(F.col("enter").alias("tick"), F.lit(1).cast("bigint").alias("step")),
         F.struct((F.col("leave") + every).alias("tick"), F.lit(-1).cast("bigint").alias("step")),
@@ -133,12 +137,16 @@ def hll_estimate(registers: DataFrame, keys: list[str] | None = None, out: str =
         F.sum(F.pow(F.lit(2.0), -F.col("rho"))).alias("_inv"), F.count("*").alias("_n"),
         F.min("p").alias("_lo"), F.max("p").alias("_hi"),
     )
+    return sums.select(*keys, _estimate_of_one_precision().alias(out))
+
+
+def _estimate_of_one_precision() -> Column:
+    """Estimate from _inv and _n, by the precision that _lo and _hi agree on."""
     by_p = F.lit(None).cast("double")
     for p in range(sketch.MIN_P, sketch.MAX_P + 1):
         by_p = F.when(F.col("_hi") == p, sketch.estimate(F.col("_inv"), F.col("_n"), p)).otherwise(by_p)
     mixed = F.raise_error(F.lit("cannot merge sketches of different precision")).cast("double")
-    value = F.when(F.col("_n") == 0, 0.0).when(F.col("_lo") == F.col("_hi"), by_p).otherwise(mixed)
-    return sums.select(*keys, value.alias(out))
+    return F.when(F.col("_n") == 0, 0.0).when(F.col("_lo") == F.col("_hi"), by_p).otherwise(mixed)
 
 
 def hourly_registers(packets: DataFrame, p: int = sketch.DEFAULT_P) -> DataFrame:
@@ -149,14 +157,42 @@ def hourly_registers(packets: DataFrame, p: int = sketch.DEFAULT_P) -> DataFrame
 def daily_from_registers(registers: DataFrame, hours: int = SKETCH_HOURS) -> DataFrame:
     """Union of each hour's sketch and the ``hours - 1`` before it, then its estimate.
 
-    Every sketch is handed to the hours it is still part of; sketches have a
-    fixed size, so this does not grow with the traffic.
+    A register's maximum over the hours only changes where a rank enters or
+    leaves, so a register row makes two moves, whatever the hours. Their steps in
+    the sum of 2^-rank (as whole multiples of 2^-61, so that sums are exact) and
+    in the number of registers add up by hour and then over the hours. The moves
+    of a register are cut into time slices: what it held before a move is known
+    from the span before it, and that from the span before that.
     """
-    reach = F.sequence(
-        F.col("hour"), F.col("hour") + (hours - 1) * HOUR_S, F.lit(HOUR_S).cast("bigint")
+    span = hours * HOUR_S
+    moves = registers.select("idx", "hour", "rho").unionByName(
+        registers.select("idx", (F.col("hour") + span).alias("hour"), F.lit(None).cast("int").alias("rho"))
+    )
+    moves = with_halo(moves.groupBy("idx", "hour").agg(F.max("rho").alias("rho")), "hour", 2 * span)
+    window = W.partitionBy("idx", "_slice").orderBy("hour")
+    moves = moves.withColumn("_now", F.max("rho").over(window.rangeBetween(-(span - HOUR_S), 0)))
+    moves = moves.withColumn("_was", F.lag("_now").over(window)).where(F.col("_slice") == F.col("_own"))
+
+    def part(rank: str) -> Column:
+        return F.coalesce(F.expr(f"shiftleft(1L, 61 - {rank})"), F.lit(0)).cast("decimal(20,0)")
+
+    steps = moves.groupBy("hour").agg(
+        F.sum(part("_now") - part("_was")).alias("_part"),
+        F.sum(F.col("_now").isNotNull().cast("bigint") - F.col("_was").isNotNull().cast("bigint")).alias("_step"),
+    )
+    reached = registers.groupBy("hour").agg(F.min("p").alias("_lo"), F.max("p").alias("_hi")).select(
+        "_lo", "_hi", "hour", F.explode(F.sequence(F.lit(0), F.lit(hours))).alias("_after")
+    )
+    live = F.col("_after") < hours
+    ticks = reached.groupBy((F.col("hour") + F.col("_after") * HOUR_S).alias("hour")).agg(
+        F.min(F.when(live, F.col("_lo"))).alias("_lo"), F.max(F.when(live, F.col("_hi"))).alias("_hi")
+    )
+    summed = running_sum(ticks.join(steps, "hour", "left"), [], "hour", [], "_step", "_n", 31 * DAY_S)
+    summed = running_sum(summed, [], "hour", [], "_part", "_parts", 31 * DAY_S, "decimal(38,0)")
+    inverse = F.col("_parts").cast("double") / float(1 << 61)
+    return summed.where(F.col("_n") > 0).withColumn("_inv", inverse).select(
+        "hour", _estimate_of_one_precision().alias("unique_clients")
     )
-    union = hll_merge(registers.withColumn("hour", F.explode(reach)), ["hour"])
-    return hll_estimate(union, ["hour"], "unique_clients")
 
 
 def unique_daily(packets: DataFrame, hours: int = SKETCH_HOURS, p: int = sketch.DEFAULT_P) -> DataFrame:

@@ -10,10 +10,9 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from stratalens.functions.slices import carry_last
+from stratalens.functions.slices import carry_last, next_value
 from stratalens.functions.timegrid import SECOND_US, ceil_to
 from stratalens.operators.traffic import seed
 
@@ -198,22 +197,40 @@ def counter_delta(readings: DataFrame, keys: list[str] | None = None, slice_s: i
     return lagged.select(*keys, F.col("_us").alias("ts_us"), "total", grown.alias("delta"))
 
 
-def retain(gauges: DataFrame, keys: list[str], step: int, until: Column) -> DataFrame:
-    """A gauge keeps the last value set, at every tick from then to ``until``.
+def retained_intervals(
+    gauges: DataFrame, keys: list[str], step: int, until: Column, slice_s: int = DAY_S
+) -> DataFrame:
+    """(keys, valid_from, valid_to, value): a gauge keeps the last value set from its tick to the last tick before the
+    series' next one, or to ``until``.
 
-    NULL values set nothing. Settings shrink to the last per series and tick
-    first; each then covers the ticks up to the series' next one.
+    NULL values set nothing. Settings shrink to the last per series and tick first. A row per setting, whatever the
+    number of ticks; a series is cut into time slices.
     """
     newest = _newest_per_tick(gauges.where(F.col("value").isNotNull()), keys, step)
-    follow = F.lead("tick").over(W.partitionBy(*keys).orderBy("tick"))
-    held = newest.withColumn("_last", F.coalesce(follow - step, until)).where(
-        F.col("tick") <= F.col("_last")
-    )
-    return held.select(
+    followed = next_value(newest, keys, "tick", "tick", "_follow", slice_s)
+    return followed.select(
         *keys,
-        F.explode(F.sequence(F.col("tick"), F.col("_last"), F.lit(step).cast("bigint"))).alias("tick"),
+        F.col("tick").alias("valid_from"),
+        F.coalesce(F.col("_follow") - step, until).alias("valid_to"),
         F.col("_s.value").alias("value"),
-    )
+    ).where(F.col("valid_from") <= F.col("valid_to"))
+
+
+def at_ticks(intervals: DataFrame, step: int) -> DataFrame:
+    """Intervals as one row per tick, for a sink that takes samples."""
+    ticks = F.explode(F.sequence(F.col("valid_from"), F.col("valid_to"), F.lit(step).cast("bigint")))
+    kept = [c for c in intervals.columns if c not in ("valid_from", "valid_to", "value")]
+    return intervals.select(*kept, ticks.alias("tick"), "value")
+
+
+def value_at(intervals: DataFrame, at: Column) -> DataFrame:
+    """The values that hold at one instant, without a row for any other tick."""
+    return intervals.where((F.col("valid_from") <= at) & (at <= F.col("valid_to"))).drop("valid_from", "valid_to")
+
+
+def retain(gauges: DataFrame, keys: list[str], step: int, until: Column) -> DataFrame:
+    """``retained_intervals`` at every tick."""
+    return at_ticks(retained_intervals(gauges, keys, step, until), step)
 
 
 def geo_loaded(timeline: DataFrame, ticks: DataFrame, step: int, until: Column) -> DataFrame:
