@@ -18,6 +18,7 @@ _FOLD[0x61:0x7B] = np.arange(0x61, 0x7B)
 _FOLD[0x41:0x5B] = np.arange(0x61, 0x7B)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
 BUCKETS = 1 << 16  # weights of each feature family, by hash
+PARTS = 64  # parts in which a language's documents are ranked before they are ranked together
 _MUL = [np.uint32(x) for x in (0x01000193, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F)]
 
 
@@ -293,8 +294,10 @@ def fit(docs: DataFrame, training: Training = Training()) -> Field | None:
     fold = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     ids = fold.groupBy("doc_id").agg(F.min(F.struct(sign.alias("sign"), "lang")).alias("row")).select("doc_id", "row.*")
     spread = F.xxhash64("doc_id")
-    order = Window.partitionBy("lang").orderBy(spread, "doc_id")
-    chosen = ids.withColumn("n", F.row_number().over(order)).where(F.col("n") <= training.per_language)
+    chosen = ids.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS)))
+    for keys in (["lang", "part"], ["lang"]):  # the least of each part hold the least of all
+        order = Window.partitionBy(*keys).orderBy(spread, "doc_id")
+        chosen = chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= training.per_language)
     chosen = chosen.orderBy("n", spread, "doc_id").limit(training.most).select("doc_id", "lang", "sign")
     rows = fold.select("doc_id", "lang", "text", sign.alias("sign")).join(F.broadcast(chosen), ["doc_id", "lang", "sign"])
     samples = rows.groupBy("doc_id", "lang", "sign").agg(F.min("text").alias("text")).collect()
