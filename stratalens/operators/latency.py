@@ -101,13 +101,14 @@ def histogram(df: DataFrame, value: str, bounds: list[float], keys: list[str] |
     """Cumulative counts for inclusive upper bounds and +Inf, with sum and count.
 
     All bounds are counted in one aggregation; values never move between nodes. The sum is of whole billionths, so
-    that it does not depend on the order of rows.
+    that it does not depend on the order of rows, and in decimals, as it soon exceeds a BIGINT.
     """
     keys = keys or []
     v: Column = F.col(value)
     counts = [F.count_if(v <= F.lit(float(b))).alias(f"_b{i}") for i, b in enumerate(bounds)]
+    billionths = F.sum(F.round(v * 1e9).cast("bigint").cast("decimal(20,0)"))
     totals = df.groupBy(*keys).agg(
-        *counts, (F.coalesce(F.sum(F.round(v * 1e9).cast("bigint")), F.lit(0)) / 1e9).alias("sum"), F.count(v).alias("count")
+        *counts, (F.coalesce(billionths.cast("double"), F.lit(0.0)) / 1e9).alias("sum"), F.count(v).alias("count")
     )
     rows = F.array(
         *[

@@ -289,3 +289,10 @@ def test_nested_networks(spark):
     for wrong in (lambda: cut_nested(one).collect(), lambda: ranges(("10.0.0.0/8", "A", ""), ("10.0.0.0/8", "B", "")).collect()):
         with pytest.raises(Exception, match="not nested|listed twice"):
             wrong()
+
+
+def test_histogram_sum_beyond_bigint(spark):
+    """Three values whose billionths together exceed a BIGINT."""
+    frame = spark.createDataFrame([(5e9,), (4e9,), (3e9,)], "seconds double")
+    found = {r.le: (r.cumulative, r.sum, r["count"]) for r in latency.histogram(frame, "seconds", [3e9, 4e9]).collect()}
+    assert found == {"3000000000": (1, 12e9, 3), "4000000000": (2, 12e9, 3), "+Inf": (3, 12e9, 3)}
