@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
-from itertools import chain, pairwise
+from itertools import chain, islice, pairwise
 from math import inf
 
 import numpy as np
@@ -18,8 +18,8 @@ from stratalens.llm.wordhash import chunks
 MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 LITERAL = "\n" + MARK  # stands for the mark's own character in a text
-SLICE_BYTES = 6 << 20  # of text whose distinct words make one trie
-KEPT_WORDS = 120_000  # words whose ids a worker remembers
+SLICE_BYTES = 2 << 20  # of text whose distinct words make one trie
+KEPT_WORDS = 80_000  # words whose ids a worker remembers
 KEPT_PAIRS = 300_000  # likewise pairs of pieces
 KEPT_STEPS = 300_000  # likewise steps of the automaton
 
@@ -260,33 +260,52 @@ def decode(ids: Iterable[int], pieces: Pieces) -> str:
     return text[1:] if text.startswith(" ") else text
 
 
+def _numbered(text: str | None, place: dict[str, int]) -> np.ndarray:
+    """The text's words by their numbers in `place`, which takes in new ones."""
+    return np.array([place.setdefault(word, len(place)) for word in marked_words(text)], np.int32)
+
+
+def _ids_of(place: dict[str, int], counts: np.ndarray, pieces: Pieces) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of all words of `place` in a row, and where each word's begin and how many they are.
+
+    Of the new words the worker remembers those that occur more than once, up to KEPT_WORDS.
+    """
+    known = pieces.words
+    new = encode_words([w for w in place if w not in known], pieces)
+    parts = [known[w] if w in known else new[w] for w in place]
+    sizes = np.fromiter(map(len, parts), np.int32, len(parts))
+    flat = np.fromiter(chain.from_iterable(parts), np.int32, int(sizes.sum()))
+    again = (w for w, count in zip(place, counts, strict=True) if count > 1 and w in new)
+    known.update((w, new[w]) for w in islice(again, max(0, KEPT_WORDS - len(known))))
+    return flat, np.cumsum(sizes, dtype=np.int32) - sizes, sizes
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all spans, one span after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def _encoder(shared, round_trip: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces: Pieces = received(shared)
         for batch in batches:
             for chunk in chunks(batch, size=SLICE_BYTES):
-                texts = chunk.column(1).to_pylist()
-                split = [marked_words(t) if t else [] for t in texts]
+                # Only distinct words are held, and the ids of one text at a time are numbers of Python.
                 place: dict[str, int] = {}
-                order = np.array([place.setdefault(w, len(place)) for words in split for w in words], np.int64)
-                known = pieces.words
-                new = encode_words([w for w in place if w not in known], pieces)
-                parts = [known[w] if w in known else new[w] for w in place]
-                if len(known) < KEPT_WORDS:
-                    known.update(new)
-                sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-                starts = np.concatenate([[0], np.cumsum(sizes)])[:-1] if parts else np.zeros(0, np.int64)
-                flat = np.fromiter(chain.from_iterable(parts), np.int32, int(sizes.sum()))
-                lengths = sizes[order] if len(order) else np.zeros(0, np.int64)
-                ends = np.concatenate([[0], np.cumsum(lengths)])
-                take = np.repeat(starts[order] - ends[:-1], lengths) + np.arange(ends[-1]) if len(order) else np.zeros(0, np.int64)
-                bounds = ends[np.concatenate([[0], np.cumsum([len(w) for w in split])]).astype(np.int64)]
-                ids = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(flat[take].astype(np.int32)))
+                orders = [_numbered(text.as_py(), place) for text in chunk.column(1)]
+                flat, starts, sizes = _ids_of(place, np.bincount(np.concatenate(orders), minlength=len(place)), pieces)
+                del place
+                parts = [flat[_spans(starts[order], sizes[order])] for order in orders]
+                bounds = np.concatenate([[0], np.cumsum([len(part) for part in parts])]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(parts)))
                 columns, names = [*chunk.columns, ids], [*chunk.schema.names, "token_ids"]
                 if round_trip:
-                    back = [decode(ids[i].values.to_pylist(), pieces) == (t or "") for i, t in enumerate(texts)]
+                    texts = zip(parts, chunk.column(1), strict=True)
+                    back = [decode(part.tolist(), pieces) == (text.as_py() or "") for part, text in texts]
                     columns.append(pa.array(back, pa.bool_()))
                     names.append("round_trip")
+                del orders, parts
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return encode
@@ -311,7 +330,7 @@ def encode(
 
     With round_trip a further column says whether the ids, decoded in the same pass, give the text (null: empty).
 
-    Each chunk of texts (6 MB) sorts its distinct words that the worker doesn't remember.
+    Each chunk of texts (2 MB) sorts its distinct words that the worker doesn't remember.
     U+2581 in a text is written as bytes, so that decoding gives back every text.
     """
     pieces = sent(docs.sparkSession, load_pieces(model_file))
