@@ -5,6 +5,9 @@ the frontier are released to the operator, which so sees whole flushes, each onc
 arrives behind the frontier of the batch before is late: its time becomes that frontier, the first flush still
 open, and it stays marked. Nothing is dropped, and what a batch does depends on its own rows and on the tables of the batch before.
 
+``closed`` releases at the end of a source what still waits, as a further step with no end. It writes no state, so if the source
+goes on, the next batch takes that step's number and replaces its output.
+
 Each batch writes its output, its waiting rows and its state below folders of its own number and replaces them if it is redone, so a
 restart from the checkpoint gives the same tables. State is bounded by the operator; a batch's folders go when the
 batch after the next is done.
@@ -29,7 +32,8 @@ AT, LATE = "_at_ns", "_late"
 class Step:
     """What one micro-batch releases: rows of [since, until) epoch seconds, with their time in AT and the mark LATE.
 
-    since is None until the first rows are released.
+    since is None until the first rows are released. last: the source is at its end; all rows that waited are there, results of any
+    later time count as inside, and until is the flush edge after the newest row.
     """
 
     rows: DataFrame
@@ -39,6 +43,7 @@ class Step:
     path: str
     kept: dict[str, DataFrame] = field(default_factory=dict)
     cached: list[DataFrame] = field(default_factory=list)
+    last: bool = False
 
     @property
     def spark(self) -> SparkSession:
@@ -60,7 +65,7 @@ class Step:
 
     def inside(self, time: Column, unit: int = 1) -> Column:
         """Whether a time since the epoch, `unit` to the second, lies in [since, until)."""
-        before = time < self.until * unit
+        before = F.lit(True) if self.last else time < self.until * unit
         return before if self.since is None else (time >= self.since * unit) & before
 
 
@@ -78,6 +83,13 @@ def _forget(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [entry.getPath().getName() for entry in files.listStatus(target)] if files.exists(target) else []
+
+
 def run_steps(
     stream: DataFrame, path: str, time_ns: Column, work: Callable[[Step], DataFrame], every: int, late: int,
     trigger: dict | None = None,
@@ -138,7 +150,35 @@ def run_steps(
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def stepped(stream: DataFrame, path: str, time_ns: Column, work: Callable[[Step], DataFrame], every: int, late: int) -> DataFrame:
-    """All that ``run_steps`` writes up to the present end of the source."""
+def closed(stream: DataFrame, path: str, time_ns: Column, work: Callable[[Step], DataFrame], every: int) -> None:
+    """Write below path/out what the open flushes of a stopped stream of ``run_steps`` hold, by its state."""
+    spark = stream.sparkSession
+    done = [int(number) for number in _names(spark, f"{path}/checkpoint/commits") if number.isdigit()]
+    if not done:
+        return
+    number = max(done)
+    schema = f"{stream.withColumn(AT, time_ns).withColumn(LATE, F.lit(False)).schema.toDDL()}"
+    mark = _read(spark, f"{path}/state/frontier/batch={number}", "newest LONG, frontier LONG").first()
+    if mark.newest is None:
+        return
+    rows = _read(spark, f"{path}/state/waiting/batch={number}", schema).persist()
+    until = (mark.newest // SECOND_NS // every + 1) * every
+    step = Step(rows, mark.frontier, until, number + 1, path, last=True)
+    work(step).write.mode("overwrite").parquet(f"{path}/out/batch={number + 1}")
+    for table in (rows, *step.cached):
+        table.unpersist()
+
+
+def stepped(
+    stream: DataFrame, path: str, time_ns: Column, work: Callable[[Step], DataFrame], every: int, late: int, close: bool = False,
+) -> DataFrame:
+    """All that ``run_steps`` writes up to the present end of the source; with close, that end is the last and no flush stays open."""
     run_steps(stream, path, time_ns, work, every, late).awaitTermination()
-    return stream.sparkSession.read.parquet(f"{path}/out").drop("batch")
+    if close:
+        closed(stream, path, time_ns, work, every)
+    return written_steps(stream.sparkSession, path)
+
+
+def written_steps(spark: SparkSession, path: str) -> DataFrame:
+    """What the steps below a path have written so far."""
+    return spark.read.parquet(f"{path}/out").drop("batch")

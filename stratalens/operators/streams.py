@@ -135,7 +135,7 @@ def active_step(step: Step, packets: DataFrame, window: int, every: int) -> Data
     if step.since is None:
         return found
     ticks = step.spark.range(step.since, step.until, every).toDF("tick")
-    return ticks.join(found, "tick", "left").select("tick", F.coalesce("active", F.lit(0)).cast("long").alias("active"))
+    return ticks.join(found, "tick", "outer" if step.last else "left").select("tick", F.coalesce("active", F.lit(0)).cast("long").alias("active"))
 
 
 def hourly_step(step: Step, packets: DataFrame, hours: int = clients.SKETCH_HOURS, p: int = DEFAULT_P) -> DataFrame:

@@ -38,9 +38,10 @@ def event_files(t: Inputs) -> str:
     return landed(t.events, part, PARTS, "events")
 
 
-def _run(t: Inputs, work: Callable[[Step], DataFrame], label: str, late: int = LATE_S) -> DataFrame:
+def _run(t: Inputs, work: Callable[[Step], DataFrame], label: str, late: int = LATE_S, close: bool = False) -> DataFrame:
     files = t.spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(event_files(t))
-    return stepped(files, shared_path(t.spark, label), F.unix_micros(F.col("ts").cast("timestamp")) * 1000, work, FLUSH, late)
+    time_ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    return stepped(files, shared_path(t.spark, label), time_ns, work, FLUSH, late, close)
 
 
 def _arrived(step: Step) -> DataFrame:
@@ -78,9 +79,9 @@ def _(t: Inputs):
 
 
 @query("str_3_hourly_sketches", f"""
-SELECT hour, round({ESTIMATE}, 6) AS unique_clients FROM (SELECT hour, {RAW} FROM daily WHERE hour < (SELECT until FROM closed) GROUP BY hour)""")
+SELECT hour, round({ESTIMATE}, 6) AS unique_clients FROM (SELECT hour, {RAW} FROM daily GROUP BY hour)""")
 def _(t: Inputs):
-    found = _run(t, lambda step: streams.hourly_step(step, client_packets(step.rows)), "sketch")
+    found = _run(t, lambda step: streams.hourly_step(step, client_packets(step.rows)), "sketch", close=True)
     return found.withColumn("unique_clients", F.round("unique_clients", 6))
 
 

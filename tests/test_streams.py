@@ -104,6 +104,26 @@ def test_unordered_rows_equal_batch(spark, tmp_path, shuffled, kind):
         assert len(glob.glob(f"{tmp_path}/s/state/{name}/batch=*")) == 2  # older ones are gone
 
 
+@pytest.mark.parametrize("kind", ["pair", "interval", "active", "sketch"])
+def test_closed_stream_gives_all(spark, tmp_path, shuffled, kind):
+    """At the end of the source no flush stays open; a stream that goes on replaces what the early end gave."""
+    rows = [r for f in shuffled for r in f]
+    packets = spark.createDataFrame(rows, PACKETS)
+    work, batch = {
+        "pair": (lambda s: streams.pair_step(s, s.rows, 2), latency.pair_latency(packets, 2)),
+        "interval": (lambda s: streams.interval_step(s, s.rows, 4, 2), clients.request_intervals(packets, 4, 2)),
+        "active": (lambda s: streams.active_step(s, s.rows, 3, 3), clients.active_clients(packets, 3, 3)),
+        "sketch": (lambda s: streams.hourly_step(s, s.rows), clients.unique_daily(packets)),
+    }[kind]
+    every = {"pair": 15, "interval": 2, "active": 3, "sketch": 3600}[kind]
+    for part in (shuffled[:5], shuffled[5:]):
+        land(spark, f"{tmp_path}/in", part)
+        source = spark.readStream.schema(PACKETS).option("maxFilesPerTrigger", 3).parquet(f"{tmp_path}/in")
+        found = stepped(source, f"{tmp_path}/s", F.col("ts_ns"), work, every, 25, close=True)
+    names = sorted(found.columns)
+    assert sorted(map(tuple, found.select(names).collect())) == sorted(map(tuple, batch.select(names).collect()))
+
+
 def test_polls_whose_documents_come_apart(spark, tmp_path):
     schema = "poll_ts TIMESTAMP, ip STRING, kind STRING, body STRING"
     body = '{"monitors":[{"id":1,"name":"m"}],"history":[{"ts":1,"score":5.0,"offset":0.1,"rtt":2.0,"monitor_id":1}]}'
