@@ -85,9 +85,9 @@ def _(t: Inputs):
     return found.withColumn("unique_clients", F.round("unique_clients", 6))
 
 
-@query("str_4_pairing", "SELECT seq, ts_ns, client_ip, xid, request_ns, seconds FROM pairs WHERE ts_ns < (SELECT until FROM closed) * 1000000000")
+@query("str_4_pairing", "SELECT seq, ts_ns, client_ip, xid, request_ns, seconds FROM pairs")
 def _(t: Inputs):
-    found = _run(t, lambda step: streams.pair_step(step, client_packets(streams.in_time(step)), TTL), "pairs")
+    found = _run(t, lambda step: streams.pair_step(step, client_packets(streams.in_time(step)), TTL), "pairs", close=True)
     return found.withColumn("xid", F.hex("xid"))
 
 
