@@ -91,9 +91,12 @@ def _(t: Inputs):
     return found.withColumn("xid", F.hex("xid"))
 
 
-@query("str_5_intervals", "SELECT seq, ts_ns, client_ip, seconds FROM gaps WHERE ts_ns < (SELECT until FROM closed) * 1000000000")
+@query("str_5_intervals", "SELECT seq, ts_ns, client_ip, seconds FROM gaps")
 def _(t: Inputs):
-    return _run(t, lambda step: streams.interval_step(step, client_packets(streams.in_time(step)), ACTIVE_WINDOW, FLUSH), "intervals")
+    def work(step: Step) -> DataFrame:
+        return streams.interval_step(step, client_packets(streams.in_time(step)), ACTIVE_WINDOW, FLUSH)
+
+    return _run(t, work, "intervals", close=True)
 
 
 @query("str_6_closed_windows", """
