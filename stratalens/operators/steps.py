@@ -63,6 +63,11 @@ class Step:
         """Give up a persisted table when the batch is written."""
         self.cached.append(table)
 
+    def hold(self, table: DataFrame) -> DataFrame:
+        """The table, worked out once for the step."""
+        self.cached.append(table.persist())
+        return table
+
     def inside(self, time: Column, unit: int = 1) -> Column:
         """Whether a time since the epoch, `unit` to the second, lies in [since, until)."""
         before = F.lit(True) if self.last else time < self.until * unit

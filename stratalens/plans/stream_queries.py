@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from stratalens.operators import enrich, streams
 from stratalens.operators.decode import keep_client_traffic
 from stratalens.operators.samples import with_series
-from stratalens.operators.steps import AT, Step, stepped
+from stratalens.operators.steps import AT, Step, closed, run_steps, written_steps
 from stratalens.plans.client_queries import ESTIMATE, RAW
 from stratalens.plans.inputs import ACTIVE_WINDOW, EVENTS_SCHEMA, FLUSH, TOP, TTL, Inputs, client_packets, frames, raw_packets, with_time
 from stratalens.plans.registry import query
-from stratalens.session import shared_path
+from stratalens.session import shared_path, written
 from stratalens.sources import readers, sinks
 
 PARTS = 4
@@ -30,18 +30,27 @@ def landed(rows: DataFrame, part: Column, parts: int, label: str, fmt: str = "pa
     return path
 
 
-def event_files(t: Inputs) -> str:
-    """All events in PARTS files by time, some hours too late."""
+def _event_part(t: Inputs) -> Column:
+    """In which of PARTS parts an event comes: by time, some hours too late."""
     lo, hi = t.timed.agg(F.min("us"), F.max("us")).first()
     arrival = F.unix_micros(F.col("ts").cast("timestamp")) + F.col("event_id") % 5 * JITTER_US - lo
-    part = F.least(F.lit(PARTS - 1), F.floor(arrival * PARTS / (hi - lo + 1)))
-    return landed(t.events, part, PARTS, "events")
+    return F.least(F.lit(PARTS - 1), F.floor(arrival * PARTS / (hi - lo + 1)))
 
 
 def _run(t: Inputs, work: Callable[[Step], DataFrame], label: str, late: int = LATE_S, close: bool = False) -> DataFrame:
-    files = t.spark.readStream.schema(EVENTS_SCHEMA).option("maxFilesPerTrigger", 1).parquet(event_files(t))
+    """What the steps write over all events, a micro-batch a part; with close, also what then still waits.
+
+    A part lands in as many files as tasks read the table, and the stream then takes up all of them: no task has a part to itself.
+    """
+    files, path, part = shared_path(t.spark, "events"), shared_path(t.spark, label), _event_part(t)
     time_ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
-    return stepped(files, shared_path(t.spark, label), time_ns, work, FLUSH, late, close)
+    for number in range(PARTS):
+        t.events.where(part == number).write.mode("append").parquet(files)
+        source = t.spark.readStream.schema(EVENTS_SCHEMA).parquet(files)
+        run_steps(source, path, time_ns, work, FLUSH, late).awaitTermination()
+    if close:
+        closed(source, path, time_ns, work, FLUSH)
+    return written_steps(t.spark, path)
 
 
 def _arrived(step: Step) -> DataFrame:

@@ -183,3 +183,20 @@ def test_sample_sink_merges_and_redoes(spark, tmp_path):
     shutil.copytree(tmp_path / "sink" / "batches=4-4", tmp_path / "sink" / "batches=3-3")  # what a merge failed to delete
     assert values() == list(range(50))
     assert "PartitionFilters: [isnotnull(metric" in sinks.read_streamed(spark, sink).where("metric = 'm1'")._jdf.queryExecution().toString()
+
+
+def test_no_task_has_a_part_to_itself(spark, tmp_path):
+    """The parts of a table that several tasks read land in several files, and a step's rows lie in several partitions."""
+    from stratalens.plans import stream_queries
+    from stratalens.plans.inputs import Inputs
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(4).write.parquet(f"{tmp_path}/events.parquet")
+    partitions = []
+
+    def work(step):
+        partitions.append(step.rows.rdd.getNumPartitions())
+        return step.rows.select("event_id")
+
+    found = stream_queries._run(Inputs(spark, str(tmp_path)), work, "parts", close=True)
+    assert found.count() == spark.read.parquet(f"{tmp_path}/events.parquet").count()
+    assert len(partitions) == 5 and min(partitions[:4]) > 1  # four parts and the end
