@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -154,7 +156,9 @@ def hourly_registers(packets: DataFrame, p: int = sketch.DEFAULT_P) -> DataFrame
     return hll_registers(hourly, "client_ip", ["hour"], p)
 
 
-def daily_from_registers(registers: DataFrame, hours: int = SKETCH_HOURS) -> DataFrame:
+def daily_from_registers(
+    registers: DataFrame, hours: int = SKETCH_HOURS, hold: Callable[[DataFrame], DataFrame] = lambda table: table,
+) -> DataFrame:
     """Union of each hour's sketch and the ``hours - 1`` before it, then its estimate.
 
     A register's maximum over the hours only changes where a rank enters or
@@ -162,7 +166,8 @@ def daily_from_registers(registers: DataFrame, hours: int = SKETCH_HOURS) -> Dat
     the sum of 2^-rank (as whole multiples of 2^-61, so that sums are exact) and
     in the number of registers add up by hour and then over the hours. The moves
     of a register are cut into time slices: what it held before a move is known
-    from the span before it, and that from the span before that.
+    from the span before it, and that from the span before that. The sums read
+    their input several times; ``hold`` may persist it, a row per hour.
     """
     span = hours * HOUR_S
     moves = registers.select("idx", "hour", "rho").unionByName(
@@ -187,7 +192,7 @@ def daily_from_registers(registers: DataFrame, hours: int = SKETCH_HOURS) -> Dat
     ticks = reached.groupBy((F.col("hour") + F.col("_after") * HOUR_S).alias("hour")).agg(
         F.min(F.when(live, F.col("_lo"))).alias("_lo"), F.max(F.when(live, F.col("_hi"))).alias("_hi")
     )
-    summed = running_sum(ticks.join(steps, "hour", "left"), [], "hour", [], "_step", "_n", 31 * DAY_S)
+    summed = running_sum(hold(ticks.join(steps, "hour", "left")), [], "hour", [], "_step", "_n", 31 * DAY_S)
     summed = running_sum(summed, [], "hour", [], "_part", "_parts", 31 * DAY_S, "decimal(38,0)")
     inverse = F.col("_parts").cast("double") / float(1 << 61)
     return summed.where(F.col("_n") > 0).withColumn("_inv", inverse).select(

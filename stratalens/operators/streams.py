@@ -141,9 +141,10 @@ def active_step(step: Step, packets: DataFrame, window: int, every: int) -> Data
 def hourly_step(step: Step, packets: DataFrame, hours: int = clients.SKETCH_HOURS, p: int = DEFAULT_P) -> DataFrame:
     """(hour, unique_clients) of each hour that the step closes; the state is the registers of the last `hours` hours."""
     schema = "hour LONG, idx INT, rho INT, p INT"
-    kept = step.state("registers", schema).unionByName(clients.hourly_registers(packets, p).select("hour", F.col("idx").cast("int"), F.col("rho").cast("int"), "p"))
+    own = clients.hourly_registers(packets, p).select("hour", F.col("idx").cast("int"), F.col("rho").cast("int"), "p")
+    kept = step.hold(step.state("registers", schema).unionByName(own))  # the sums over hours and the state read it many times
     step.keep("registers", kept.where(F.col("hour") > step.until - (hours + 1) * clients.HOUR_S))
-    return clients.daily_from_registers(kept, hours).where(step.inside(F.col("hour")))
+    return clients.daily_from_registers(kept, hours, step.hold).where(step.inside(F.col("hour")))
 
 
 def pair_step(step: Step, packets: DataFrame, ttl: float) -> DataFrame:
