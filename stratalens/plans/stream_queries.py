@@ -131,9 +131,12 @@ def _(t: Inputs):
     part = F.floor((F.col("us") - lo) * 5 / (hi - lo + 1))
     part = F.least(F.lit(4), part + F.when((F.col("kind") == "overall") & (F.col("us") % 3 == 0), 1).otherwise(0))
     text = F.date_format("poll_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
-    files = landed(docs.withColumn("part", part).withColumn("poll_ts", text).drop("us"), F.col("part"), 5, "docs", "json")
-    source = readers.read_score_docs(t.spark, files, streaming=True, maxFilesPerTrigger=1)
-    polls = streams.drain(streams.poll_stream(source, "8 days"), shared_path(t.spark, "polls"), each=streams.poll_outcomes)
+    docs = written(docs.withColumn("part", part.cast("int")).withColumn("poll_ts", text).drop("us"), "polled")
+    files, path = shared_path(t.spark, "docs"), shared_path(t.spark, "polls")
+    for number in range(5):
+        docs.where(F.col("part") == number).drop("part").write.mode("append").json(files)
+        source = readers.read_score_docs(t.spark, files, streaming=True)
+        polls = streams.drain(streams.poll_stream(source, "8 days"), path, each=streams.poll_outcomes)
     return polls.select("ip", F.unix_micros("poll_ts").alias("us"), "success", "score")
 
 
